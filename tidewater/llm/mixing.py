@@ -15,6 +15,11 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _key(source: str = "source") -> Column:
+    """A source as a text that is never null, so that joins and windows on it share a partitioning."""
+    return F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n"))
+
+
 def targets(sizes: DataFrame, share: float, most: float, weights: tuple[int, ...]) -> DataFrame:
     """(source, source_size) to (source, source_size, target): ``share`` of all words by weight, at most ``most`` times a source's own.
 
@@ -48,46 +53,42 @@ def _starts(by_cell: DataFrame) -> DataFrame:
     """Words of a source before each of its cells: sums over runs of 1024 cells first, then inside each run."""
     so_far = lambda what, w: F.coalesce(F.sum(what).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cells = by_cell.withColumn("run", F.floor(F.col("cell") / 1024))
-    runs = cells.groupBy("source", "run").agg(F.sum("words").alias("words"))
-    runs = runs.select(F.col("source").alias("s"), F.col("run").alias("r"), so_far("words", Window.partitionBy("source").orderBy("run")).alias("before"))
-    inner = cells.withColumn("inner", so_far("words", Window.partitionBy("source", "run").orderBy("cell")))
-    met = inner.join(runs, F.col("source").eqNullSafe(F.col("s")) & (F.col("run") == F.col("r")))
-    return met.select("source", "cell", (F.col("before") + F.col("inner")).alias("ahead"))
+    runs = cells.groupBy("key", "run").agg(F.sum("words").alias("words"))
+    runs = runs.select("key", "run", so_far("words", Window.partitionBy("key").orderBy("run")).alias("before"))
+    inner = cells.withColumn("inner", so_far("words", Window.partitionBy("key", "run").orderBy("cell")))
+    return inner.join(runs, ["key", "run"]).select("key", "cell", (F.col("before") + F.col("inner")).alias("ahead"))
 
 
 def plan_blocks(df: DataFrame, id_col: str, text_col: str, source_col: str, block: int, share: float, most: float, weights: tuple[int, ...], seed: int, docs_per_cell: int = 512, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """Lay each source's words end to end in blocks of ``block`` words, and draw blocks for the mix.
+    """Lay each source's words end to end in blocks of ``block`` words, and draw slots for the mix.
 
-    Returns the documents (doc_id, source, size, source_size, target, at: the place of the first word in its source,
-    cell, nth: a key of the row, and ``keep``) and the drawn blocks (source, b: block, times). Documents follow each
-    other in a pseudorandom order; a source is laid out in cells of a few thousand documents, so a source with most of
-    the rows needs no single task.
+    Returns the documents (doc_id, source, size, source_size, target, at: the place of the first word in its source;
+    key, cell, nth: a key of the row; and ``keep``) and the slots (source, key, i: the slot's number, turn: its place in
+    the round, n: blocks of the source). Documents follow each other in a pseudorandom order; a source is laid out in
+    cells of a few hundred documents, so a source with most of the rows needs no single task.
     """
     c = F.col
     rows = df.select(c(id_col).cast("long").alias("doc_id"), c(source_col).cast("string").alias("source"), n_words(c(text_col).cast("string")).alias("size"), *[c(k) for k in keep])
-    n = df.count()
-    cells = max(1, -(-n // docs_per_cell))
-    rows = rows.withColumn("cell", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(cells)))
-    by_cell = written(rows.select("source", "size", "cell").groupBy("source", "cell").agg(F.sum("size").alias("words")), "cells")
-    aims = written(targets(by_cell.groupBy("source").agg(F.sum("words").alias("source_size")), share, most, weights), "targets")
-    starts = _starts(by_cell).select(c("source").alias("s"), c("cell").alias("k"), "ahead")
-    inside = Window.partitionBy("source", "cell").orderBy(F.xxhash64(F.lit(seed), F.lit(1), "doc_id"), "doc_id", "size", *[c(k) for k in keep])
+    cells = max(1, -(-df.count() // docs_per_cell))
+    rows = rows.withColumn("key", _key()).withColumn("cell", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(cells)))
+    by_cell = written(rows.groupBy("key", "cell").agg(F.first("source").alias("source"), F.sum("size").alias("words")), "cells")
+    aims = written(targets(by_cell.groupBy("source").agg(F.sum("words").alias("source_size")), share, most, weights).withColumn("key", _key()), "targets")
+    inside = Window.partitionBy("key", "cell").orderBy(F.xxhash64(F.lit(seed), F.lit(1), "doc_id"), "doc_id", "size", *[c(k) for k in keep])
     placed = rows.withColumn("nth", F.row_number().over(inside)).withColumn("before", F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = placed.join(starts, c("source").eqNullSafe(c("s")) & (c("cell") == c("k"))).drop("s", "k")
-    placed = placed.join(aims.withColumnRenamed("source", "s"), c("source").eqNullSafe(c("s"))).drop("s")
-    docs = placed.select("doc_id", "source", "size", "source_size", "target", (c("ahead") + c("before")).alias("at"), "cell", "nth", *keep)
+    placed = placed.join(_starts(by_cell).hint("merge"), ["key", "cell"]).join(aims.drop("source"), "key")
+    docs = placed.select("doc_id", "source", "size", "source_size", "target", (c("ahead") + c("before")).alias("at"), "key", "cell", "nth", *keep)
 
-    blocks = F.ceil(c("source_size") / block)
-    drawn = aims.where("source_size > 0").withColumn("n", blocks).withColumn("slots", F.least(F.round(c("target") * c("n") / c("source_size")), F.floor(c("n") * F.lit(most))).cast("long"))
-    runs = drawn.where("slots > 0").select("source", "n", "slots", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((c("slots") - 1) / 4096))).alias("run"))
-    slots = runs.repartition("source", "run").select("source", "n", F.explode(F.sequence(c("run") * 4096, F.least(c("slots"), (c("run") + 1) * 4096) - 1)).alias("i"))
-    return docs, slots.select("source", (c("i") % c("n")).alias("turn"), c("n"), c("i"))
+    drawn = aims.where("source_size > 0").withColumn("n", F.ceil(c("source_size") / block))
+    drawn = drawn.withColumn("slots", F.least(F.round(c("target") * c("n") / c("source_size")), F.floor(c("n") * F.lit(most))).cast("long"))
+    runs = drawn.where("slots > 0").select("source", "key", "n", "slots", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((c("slots") - 1) / 1024))).alias("run"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, so that few wide rows aren't put into one task
+    slots = runs.repartition(parts, "key", "run").select("source", "key", "n", F.explode(F.sequence(c("run") * 1024, F.least(c("slots"), (c("run") + 1) * 1024) - 1)).alias("i"))
+    return docs, slots.withColumn("turn", c("i") % c("n"))
 
 
 def drawn_blocks(slots: DataFrame, seed: int) -> DataFrame:
-    """Slots mapped through their source's permutation of its blocks: (source, b, times)."""
-    key = F.xxhash64(F.lit(seed), F.coalesce("source", F.lit("")), F.col("source").isNull())
-    return slots.select("source", permuted(F.col("turn"), F.col("n"), key).alias("b")).groupBy("source", "b").agg(F.count("*").alias("times"))
+    """Slots mapped through their source's permutation of its blocks: (key, b: block, times)."""
+    return slots.select("key", permuted(F.col("turn"), F.col("n"), F.xxhash64(F.lit(seed), "key")).alias("b")).groupBy("key", "b").agg(F.count("*").alias("times"))
 
 
 def shard_counts(slots: DataFrame, shards: int, seed: int) -> DataFrame:
@@ -96,13 +97,12 @@ def shard_counts(slots: DataFrame, shards: int, seed: int) -> DataFrame:
     return slots.groupBy(shard.alias("shard"), "source").agg(F.count("*").alias("slots"))
 
 
-def _overlaps(docs: DataFrame, slots: DataFrame, block: int, seed: int, *keep: str) -> DataFrame:
-    """A row for each document and block that it reaches into: key, lo and hi (words of the document), times (0 to 2)."""
+def overlaps(docs: DataFrame, slots: DataFrame, block: int, seed: int) -> DataFrame:
+    """A row for each document and drawn block that it reaches into: its key, cell and nth, lo and hi (words of the document), times (1 or 2)."""
     c = F.col
-    spans = docs.where("size > 0").select("source", "cell", "nth", "at", "size", *keep, F.explode(F.sequence(F.floor(c("at") / block), F.floor((c("at") + c("size") - 1) / block))).alias("b"))
-    drawn = drawn_blocks(slots, seed).withColumnRenamed("source", "s").withColumnRenamed("b", "k")
-    met = spans.join(drawn, c("source").eqNullSafe(c("s")) & (c("b") == c("k")))
-    return met.select("source", "cell", "nth", *keep, F.greatest(c("b") * block - c("at"), F.lit(0)).alias("lo"), F.least((c("b") + 1) * block - c("at"), c("size")).alias("hi"), "times")
+    spans = docs.where("size > 0").select("key", "cell", "nth", "at", "size", F.explode(F.sequence(F.floor(c("at") / block), F.floor((c("at") + c("size") - 1) / block))).alias("b"))
+    met = spans.join(drawn_blocks(slots, seed).hint("merge"), ["key", "b"])
+    return met.select("key", "cell", "nth", F.greatest(c("b") * block - c("at"), F.lit(0)).alias("lo"), F.least((c("b") + 1) * block - c("at"), c("size")).alias("hi"), "times")
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 256, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 7) -> DataFrame:
@@ -116,7 +116,6 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     """
     docs, slots = plan_blocks(df, id_col, text_col, source_col, block, share, most, weights, seed)
     docs = written(docs, "placed")
-    taken = _overlaps(docs, slots, block, seed).groupBy("source", "cell", "nth").agg(F.sum((F.col("hi") - F.col("lo")) * F.col("times")).alias("taken"))
-    taken = taken.select(F.col("source").alias("s"), F.col("cell").alias("k"), F.col("nth").alias("m"), "taken")
-    met = docs.join(taken, F.col("source").eqNullSafe(F.col("s")) & (F.col("cell") == F.col("k")) & (F.col("nth") == F.col("m")), "left")
+    taken = overlaps(docs, slots, block, seed).groupBy("key", "cell", "nth").agg(F.sum((F.col("hi") - F.col("lo")) * F.col("times")).alias("taken"))
+    met = docs.join(taken.hint("merge"), ["key", "cell", "nth"], "left")
     return met.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
