@@ -119,3 +119,28 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     taken = overlaps(docs, slots, block, seed).groupBy("key", "cell", "nth").agg(F.sum((F.col("hi") - F.col("lo")) * F.col("times")).alias("taken"))
     met = docs.join(taken.hint("merge"), ["key", "cell", "nth"], "left")
     return met.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixed_documents(df: DataFrame, block: int = 256, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 7) -> DataFrame:
+    """The mix itself, for documents (doc_id, text, lang, source, n_chars): the words that it takes, as documents.
+
+    A document whose blocks are drawn gives a row with its taken words, in order and with the white space before them,
+    and a second row with the words taken twice; a document of which nothing is taken gives none. Texts taken whole stay
+    as they are.
+    """
+    c = F.col
+    docs, slots = plan_blocks(df, "doc_id", "text", "source", block, share, most, weights, seed)
+    docs = written(docs, "placed")
+    parts = overlaps(docs, slots, block, seed).groupBy("key", "cell", "nth").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "times"))).alias("parts"))
+    same = Window.partitionBy("doc_id", "size")
+    taken = docs.join(parts.hint("merge"), ["key", "cell", "nth"]).select("doc_id", "size", "parts", F.row_number().over(same.orderBy("key", "cell", "nth")).alias("copy"))
+    taken = taken.select(c("doc_id").alias("d"), c("size").alias("n"), c("copy").alias("k"), "parts")
+    texts = df.select("doc_id", "text", "lang", "source").withColumn("size", n_words(c("text"))).withColumn("copy", F.row_number().over(same.orderBy("source", "text")))
+    met = texts.join(taken.hint("merge"), c("doc_id").eqNullSafe(c("d")) & (c("size") == c("n")) & (c("copy") == c("k")))
+    turns = met.withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), F.array_max(F.transform("parts", lambda p: p["times"])))))
+    turns = turns.withColumn("mine", F.filter("parts", lambda p: p["times"] >= c("turn")))
+    words = F.aggregate("mine", F.lit(0).cast("long"), lambda n, p: n + p["hi"] - p["lo"])
+    turns = turns.withColumn("tokens", F.when(words < c("size"), F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*" + WORD + ")"), F.lit(1))))
+    cut = F.array_join(F.flatten(F.transform("mine", lambda p: F.slice("tokens", (p["lo"] + 1).cast("int"), (p["hi"] - p["lo"]).cast("int")))), "")
+    text = F.when(c("tokens").isNull(), c("text")).otherwise(cut)
+    return turns.select("doc_id", text.alias("text"), "lang", "source").withColumn("n_chars", F.char_length("text").cast("long"))
