@@ -166,10 +166,13 @@ def beacon_pairs(flows: DataFrame, cfg: Beacon = Beacon()) -> DataFrame:
     """
     heard = flows.where((c("proto") == "tcp") & (c("syn") > 0) & (F.coalesce("ics_proto", F.lit("")) == ""))
     last = heard.agg(F.max("window_end").alias("_last"))  # one row
-    steps = F.floor((c("ts") + cfg.horizon - c("window_end")) / cfg.width)
-    steps = F.least(steps, F.round((c("_last") - c("window_end")) / cfg.width)).cast("int")
-    served = heard.crossJoin(F.broadcast(last)).where(steps >= 0).withColumn("at", F.explode(F.transform(F.sequence(F.lit(0), steps), lambda i: c("window_end") + i * cfg.width)))
     pair = ["src_ip", "dst_ip", "at"]
+    ends = lambda reach: F.explode(F.transform(F.sequence(F.lit(0), reach), lambda i: c("window_end") + i * cfg.width)).alias("at")
+    reach = lambda ts: F.least(F.floor((ts + cfg.horizon - c("window_end")) / cfg.width), F.round((c("_last") - c("window_end")) / cfg.width)).cast("int")
+    # counts a window bound the counts a horizon, so that only pairs that can reach the gate are spread over window ends
+    each = heard.groupBy("src_ip", "dst_ip", "window_end").agg(F.count("*").alias("k"), F.max("ts").alias("late"))
+    able = each.crossJoin(F.broadcast(last)).where(reach(c("late")) >= 0).select("src_ip", "dst_ip", "k", ends(reach(c("late")))).groupBy(*pair).agg(F.sum("k").alias("k")).where(c("k") >= cfg.min_events).select(*pair)
+    served = heard.crossJoin(F.broadcast(last)).where(reach(c("ts")) >= 0).select("src_ip", "dst_ip", "ts", "seq", "bytes_out", "tls_sni", ends(reach(c("ts")))).join(able, pair, "left_semi")
     size = served.groupBy(*pair).agg(F.count("*").alias("n_events")).where(c("n_events") >= cfg.min_events)
     rows = served.join(size, pair).withColumn("gap", c("ts") - F.lag("ts").over(Window.partitionBy(*pair).orderBy("ts", "seq")))
     stats = rows.groupBy(*pair).agg(

@@ -40,5 +40,5 @@ def flows(spark: SparkSession, count: int, seed: int = 1337, duration: float = 1
         F.when(lookup, by_label(F.concat(F.lit("www.site"), whole(20, 40).cast("string"), F.lit(".example.com")), dga_resolution=F.concat(F.lower(word(21)), F.lit(".net")), dns_tunnelling=F.concat(F.lower(F.concat(word(22), word(23), word(24), word(25))), F.lit(".t.example.org")))).alias("dns_qname"),
         F.when(lookup, by_label(F.lit("A"), dns_tunnelling=F.lit("TXT"))).alias("dns_qtype"), F.when(lookup, by_label(F.lit("NOERROR"), dga_resolution=F.lit("NXDOMAIN"))).alias("dns_rcode"),
         F.when(~lookup & (c("label") != "ics_intrusion"), F.concat(F.lit("t13d"), whole(26, 5).cast("string"))).alias("tls_ja4"), F.lit(None).cast("string").alias("tls_sni"), F.lit(False).alias("tls_self_signed"), F.lit(None).cast("int").alias("tls_cert_days"),
-        F.when(c("label") == "ics_intrusion", "modbus").alias("ics_proto"), F.when(c("label") == "ics_intrusion", whole(27, 20) + 1).alias("ics_func"), (c("label") == "ics_intrusion").alias("ics_write"), F.lit(False).alias("ics_illegal"), "label",
+        F.when(c("label") == "ics_intrusion", "modbus").alias("ics_proto"), F.when(c("label") == "ics_intrusion", whole(27, 20) + 1).alias("ics_func"), F.array(whole(28, 1400) + 60, -(whole(29, 1400) + 60), whole(30, 400) + 60).alias("pkt_sizes"), (c("label") == "ics_intrusion").alias("ics_write"), F.lit(False).alias("ics_illegal"), "label",
     )
