@@ -331,8 +331,8 @@ _NAMES = [f.split()[0] for f in FIELDS.split(", ")]
 _KINDS = {"double": pa.float64(), "string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_()}
 
 
-def fields(ts: float, link: int, frame: bytes) -> dict | None:
-    """All that is known of one TCP or UDP packet; None for any other."""
+def fields(ts: float, link: int, frame: bytes, open_quic: bool = False) -> dict | None:
+    """All that is known of one TCP or UDP packet; None for any other. ``open_quic`` reads the hello of QUIC's Initial packets."""
     packet = network_layer(link, frame)
     parts = ip_parts(packet) if packet else None
     if not parts or parts[2] not in (6, 17) or len(parts[3]) < (20 if parts[2] == 6 else 8):
@@ -353,15 +353,19 @@ def fields(ts: float, link: int, frame: bytes) -> dict | None:
             out |= dict(zip(("dns_qname", "dns_qtype", "dns_rcode"), q, strict=True))
         elif 443 in (sport, dport) and (mark := quic_version(payload)):
             out["tls_ja4"] = mark
+            if open_quic:
+                from .quic import client_hello as quic_hello
+
+                out |= quic_hello(payload) or {}
     return out
 
 
-def decode(packets: DataFrame) -> DataFrame:
+def decode(packets: DataFrame, open_quic: bool = False) -> DataFrame:
     """Fields of each TCP or UDP packet over IPv4 of (ts, linktype, data)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [x for t, link, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) if data and (x := fields(t, link, data))]
+            rows = [x for t, link, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) if data and (x := fields(t, link, data, open_quic))]
             yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], _KINDS[f.split()[1]]) for n, f in zip(_NAMES, FIELDS.split(", "), strict=True)], names=_NAMES)
 
     return packets.select("ts", "linktype", "data").mapInArrow(run, FIELDS)
