@@ -161,28 +161,41 @@ class Beacon:
 def beacon_pairs(flows: DataFrame, cfg: Beacon = Beacon()) -> DataFrame:
     """Timing of each (source, destination) over the horizon that ends with each window: features and score.
 
-    A flow serves the window ends of the horizon after it. Intervals come from a lag, medians from exact percentiles, so
-    that no pair's times are collected into one value.
+    A flow serves the window ends of the horizon after it. Its interval to the flow before is found once, within its
+    window or from the pair's last window before, and counts at the ends that both flows serve; so no pair's history is
+    sorted or collected. Window ends are met by microsecond, as sums of the same width may differ in the last bit.
     """
     heard = flows.where((c("proto") == "tcp") & (c("syn") > 0) & (F.coalesce("ics_proto", F.lit("")) == ""))
     last = heard.agg(F.max("window_end").alias("_last"))  # one row
-    pair = ["src_ip", "dst_ip", "at"]
-    ends = lambda reach: F.explode(F.transform(F.sequence(F.lit(0), reach), lambda i: c("window_end") + i * cfg.width)).alias("at")
-    reach = lambda ts: F.least(F.floor((ts + cfg.horizon - c("window_end")) / cfg.width), F.round((c("_last") - c("window_end")) / cfg.width)).cast("int")
+    own, pair = ["src_ip", "dst_ip", "window_end"], ["src_ip", "dst_ip", "tick"]
+    tick = lambda at: F.round(at * 1e6).cast("bigint")
+    serves = lambda ts, end: F.floor((ts + cfg.horizon - end) / cfg.width)
     # counts a window bound the counts a horizon, so that only pairs that can reach the gate are spread over window ends
-    each = heard.groupBy("src_ip", "dst_ip", "window_end").agg(F.count("*").alias("k"), F.max("ts").alias("late"))
-    able = each.crossJoin(F.broadcast(last)).where(reach(c("late")) >= 0).select("src_ip", "dst_ip", "k", ends(reach(c("late")))).groupBy(*pair).agg(F.sum("k").alias("k")).where(c("k") >= cfg.min_events).select(*pair)
-    served = heard.crossJoin(F.broadcast(last)).where(reach(c("ts")) >= 0).select("src_ip", "dst_ip", "ts", "seq", "bytes_out", "tls_sni", ends(reach(c("ts")))).join(able, pair, "left_semi")
-    size = served.groupBy(*pair).agg(F.count("*").alias("n_events")).where(c("n_events") >= cfg.min_events)
-    rows = served.join(size, pair).withColumn("gap", c("ts") - F.lag("ts").over(Window.partitionBy(*pair).orderBy("ts", "seq")))
+    each = heard.groupBy(*own).agg(F.count("*").alias("k"), F.max("ts").alias("late"))
+    earlier = Window.partitionBy("src_ip", "dst_ip").orderBy("window_end")
+    each = each.withColumns({"_late": F.lag("late").over(earlier), "_end": F.lag("window_end").over(earlier)})
+    reach = F.least(serves(c("late"), c("window_end")), F.round((c("_last") - c("window_end")) / cfg.width)).cast("int")
+    spread = each.crossJoin(F.broadcast(last)).where(reach >= 0).select(*own, "k", "_late", "_end", F.explode(F.sequence(F.lit(0), reach)).alias("i"))
+    spread = spread.withColumn("at", c("window_end") + c("i") * cfg.width).withColumn("tick", tick(c("at")))
+    most = spread.withColumn("_most", F.sum("k").over(Window.partitionBy(*pair))).where(c("_most") >= cfg.min_events)
+    able = most.groupBy(*own).agg(F.first("_late").alias("_late"), F.first("_end").alias("_end"), F.collect_list(F.struct("i", "at", "tick")).alias("ends"))  # a horizon's windows at most
+    before = F.lag("ts").over(Window.partitionBy(*own).orderBy("ts", "seq"))
+    served = heard.select(*own, "ts", "seq", "bytes_out", "tls_sni", before.alias("_prev")).join(able, own)
+    served = served.withColumns({"_end": F.when(c("_prev").isNull(), c("_end")).otherwise(c("window_end")), "_prev": F.coalesce("_prev", "_late")})
+    served = served.select("src_ip", "dst_ip", "ts", "seq", "bytes_out", "tls_sni", "_prev", "_end", F.explode(F.filter("ends", lambda e: e["i"] <= serves(c("ts"), c("window_end")))).alias("e"))
+    steps = (c("e.at") - c("_end")) / cfg.width
+    both = (F.abs(steps - F.round(steps)) < 1e-6) & (F.round(steps) <= serves(c("_prev"), c("_end")))
+    rows = served.select("src_ip", "dst_ip", "ts", "seq", "bytes_out", "tls_sni", c("e.tick").alias("tick"), c("e.at").alias("at"), F.when(both, c("ts") - c("_prev")).alias("gap"))
+    whole = Window.partitionBy(*pair)
+    rows = rows.withColumns({"n_events": F.count("*").over(whole), "med": F.percentile("gap", 0.5).over(whole)}).where(c("n_events") >= cfg.min_events)
     stats = rows.groupBy(*pair).agg(
-        F.first("n_events").alias("n_events"), F.avg("gap").alias("m"), F.stddev_samp("gap").alias("sd"), F.percentile("gap", 0.5).alias("med"), F.avg("bytes_out").alias("bm"), F.stddev_samp("bytes_out").alias("bsd"),
-        F.max(F.struct("ts", "seq", "tls_sni")).alias("latest"), F.min("ts").alias("ts_first"),
+        F.first("n_events").alias("n_events"), F.first("med").alias("med"), F.max("at").alias("at"), F.avg("gap").alias("m"), F.stddev_samp("gap").alias("sd"), F.avg("bytes_out").alias("bm"), F.stddev_samp("bytes_out").alias("bsd"),
+        F.percentile(F.abs(c("gap") - c("med")), 0.5).alias("mad"), F.max(F.struct("ts", "seq", "tls_sni")).alias("latest"),
     )
-    away = rows.select(*pair, "gap").join(stats.select(*pair, "med"), pair).groupBy(*pair).agg(F.percentile(F.abs(c("gap") - c("med")), 0.5).alias("mad"))
-    popular = _as_of(stats.select("dst_ip", "at").distinct(), cumulative_distinct(heard, "dst_ip", "src_ip", "dst_prevalence"), "dst_ip", "dst_prevalence")
+    known = cumulative_distinct(heard, "dst_ip", "src_ip", "dst_prevalence").withColumn("window_end", tick(c("window_end")))
+    popular = _as_of(stats.select("dst_ip", c("tick").alias("at")).distinct(), known, "dst_ip", "dst_prevalence").withColumnRenamed("at", "tick")
     hosts = inside_hosts(heard)
-    met = stats.join(away, pair).join(popular, ["dst_ip", "at"])
+    met = stats.join(popular, ["dst_ip", "tick"])
     cv = X.variation(c("m"), c("sd"))
     met = met.select(
         c("at").alias("window_end"), "src_ip", "dst_ip", c("n_events").cast("double").alias("n_events"), "m", c("dst_prevalence").cast("double").alias("dst_prevalence"), c("latest.ts").alias("ts_event"), c("latest.tls_sni").alias("sni"),
