@@ -53,6 +53,32 @@ def test_beacon_regular_fires_and_service_is_quiet(spark):
     assert D.beacon(W.anchored(flows(spark, quiet), 600.0), D.Beacon(width=600.0)).count() == 0
 
 
+def test_beacon_intervals_equal_brute_force(spark):
+    rng = random.Random(4)
+    cfg = D.Beacon(width=7.0, horizon=40.0, min_events=3)
+    rows = [{"ts": round(rng.uniform(0.1234567, 120), 7) if i % 5 else float(i % 60), "src_ip": f"10.0.0.{rng.randrange(3)}", "dst_ip": f"203.0.113.{rng.randrange(2)}", "bytes_out": rng.randrange(900)} for i in range(150)]
+    kept = W.anchored(flows(spark, rows), 7.0).persist()
+    all_flows = sorted(kept.collect(), key=lambda r: (r.ts, r.seq))
+    ended = sorted({round(r.window_end, 6): r.window_end for r in all_flows}.values())
+    whole = [ended[0] + 7.0 * i for i in range(round((ended[-1] - ended[0]) / 7.0) + 1)]
+    want = {}
+    for end in whole:
+        pairs = {}
+        for r in all_flows:
+            if r.window_end < end + 1e-6 and r.ts >= end - 40.0:
+                pairs.setdefault((r.src_ip, r.dst_ip), []).append(r)
+        for pair, held in pairs.items():
+            gaps = np.diff([r.ts for r in held])
+            if len(held) >= 3:
+                med = float(np.median(gaps))
+                want[(*pair, round(end, 4))] = (len(held), float(gaps.mean()), float(np.median(np.abs(gaps - med))) / (med or 1.0), held[-1].ts)
+    got = {(r.src_ip, r.dst_ip, round(r.window_end, 4)): (r.n_events, r.m, r.mad_ratio, r.ts_event) for r in D.beacon_pairs(kept, cfg).collect()}
+    assert got.keys() == want.keys() and len(got) > 50
+    for k, v in want.items():
+        assert got[k] == pytest.approx(v, abs=1e-9)
+    kept.unpersist()
+
+
 def test_industrial_writer_and_established_poller(spark):
     poll = [{"ts": float(i), "src_ip": "10.0.0.2", "dst_ip": "10.60.0.1", "ics_proto": "modbus", "ics_func": 3, "ics_write": False, "ics_illegal": False} for i in range(6)]
     later = [{"ts": 70.0, "src_ip": "10.0.0.2", "dst_ip": "10.60.0.1", "ics_proto": "modbus", "ics_func": 6, "ics_write": True, "ics_illegal": False}]
