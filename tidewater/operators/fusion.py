@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,18 +119,23 @@ GENESIS = "0" * 64
 def chain(records: DataFrame, order: list[str], body: str) -> DataFrame:
     """A hash chain over records in order: seq, body, prev_sha256, sha256 of ``prev|seq|body``.
 
-    Each hash needs the one before, so a chain is one fold; a ledger is one file of alerts, far fewer than flows. Use
-    one chain a partition (``order`` inside it) where a ledger must grow beyond a task.
+    Each hash needs the one before, so a chain is sequential by definition: one ordered pass over all records, in memory
+    bounded by a batch. Use one chain a partition (``order`` inside it) where a ledger must grow beyond a task.
     """
-    row = records.agg(F.array_sort(F.collect_list(F.struct(*order, body))).alias("all"))
-    start = F.struct(F.lit(GENESIS).alias("prev"), F.array().cast("array<struct<seq:bigint,body:string,prev_sha256:string,sha256:string>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        seq = (F.size(acc["out"]) + 1).cast("bigint")
-        digest = F.sha2(F.concat_ws("|", acc["prev"], seq.cast("string"), x[body]), 256)
-        return F.struct(digest.alias("prev"), F.array_append(acc["out"], F.struct(seq.alias("seq"), x[body].alias("body"), acc["prev"].alias("prev_sha256"), digest.alias("sha256"))).alias("out"))
 
-    return row.select(F.explode(F.aggregate("all", start, step)["out"]).alias("o")).select("o.*")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seq, last = 0, GENESIS
+        for batch in batches:
+            bodies, before, digests, first = batch.column(0).to_pylist(), [], [], seq + 1
+            for x in bodies:
+                seq += 1
+                before.append(last)
+                last = hashlib.sha256("|".join([last, str(seq)] + [x] * (x is not None)).encode("utf-8", "surrogatepass")).hexdigest()
+                digests.append(last)
+            yield pa.RecordBatch.from_arrays([pa.array(range(first, seq + 1), pa.int64()), pa.array(bodies, pa.string()), pa.array(before, pa.string()), pa.array(digests, pa.string())], names=["seq", "body", "prev_sha256", "sha256"])
+
+    rows = records.select(*order, c(body).alias("_body")).repartition(1).sortWithinPartitions(*order, "_body").select("_body")
+    return rows.mapInArrow(run, "seq long, body string, prev_sha256 string, sha256 string")
 
 
 def verify(ledger: DataFrame) -> DataFrame:

@@ -205,7 +205,7 @@ def ranked_incidents(s, d):
 
 
 def _ledger(s, d):
-    rows = T.event_flows(s, d).where("seq < 400").select("seq", F.concat_ws("/", "src_ip", "dst_ip", c("bytes_out").cast("string")).alias("body"))
+    rows = T.event_flows(s, d).select("seq", F.concat_ws("/", "src_ip", "dst_ip", c("bytes_out").cast("string")).alias("body"))
     return N.chain(rows.withColumnRenamed("seq", "at"), ["at"], "body")
 
 
