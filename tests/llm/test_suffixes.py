@@ -63,3 +63,41 @@ def test_odd_rows(spark):
     assert got == {1: "0:60", 2: "2:62"}
     assert suffixes.repeated_passages(df.limit(0)).count() == 0
     assert suffixes.without_repeats(df).columns == df.columns
+
+
+def exact(docs, size=suffixes.MIN):
+    """For each document its repeated words, those that a smaller document holds, and the smallest partner."""
+    holders, out = defaultdict(set), {}
+    runs = [(d, i, tuple(w[i : i + size])) for d, t in docs for w in [t.split()] for i in range(len(w) - size + 1)]
+    for d, _, run in runs:
+        holders[run].add(d)
+    for d, i, run in runs:
+        others = holders[run] - {d}
+        if others:
+            words, later, partner = out.get(d, (set(), set(), d + 10**9))
+            span = set(range(i, i + size))
+            out[d] = (words | span, later | (span if min(others) < d else set()), min(partner, min(others)))
+    return out
+
+
+def found(df):
+    spans = lambda text: {k for s in text.split(",") if s for k in range(*map(int, s.split(":")))}
+    return {r.doc_id: (spans(r.passages), spans(r.removable), r.partner) for r in suffixes.repeated_passages(df).collect()}
+
+
+def filler(seed):
+    rng = np.random.default_rng(seed)
+    return rng, lambda n: " ".join(f"w{k}" for k in rng.integers(0, 100_000, n))
+
+
+def test_all_but_the_smallest_holder_lose_a_short_passage(spark, monkeypatch):
+    rng, fill = filler(3)
+    passages = [fill(n) for n in (50, 60, 75, 88)]
+    docs = [(int(i), " ".join([fill(40), passages[k % 4], fill(40)])) for k, i in enumerate(rng.permutation(800))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    want = exact(docs)
+    assert found(df) == want and len(want) == 800
+    left = [r.text for r in suffixes.without_repeats(df).collect()]
+    assert [sum(p in t for t in left) for p in passages] == [1] * 4
+    monkeypatch.setattr(suffixes, "HOT", 20)  # the same by way of the aggregates
+    assert found(df) == want

@@ -1,4 +1,4 @@
-"""Passages that repeat across documents, by sparse suffix arrays over minimiser positions."""
+"""Passages that repeat across documents, by sparse suffixes at minimiser positions and the windows they stand for."""
 
 from __future__ import annotations
 
@@ -7,17 +7,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import discard, join_on_hot_key, written
 
 #: A passage of MIN words holds MIN - GRAM + 1 runs of GRAM words. Each window of WINDOW runs keeps its least one, so the
-#: first kept position of a passage is at most WINDOW - 1 = MIN - SEED words from its start, with SEED words to follow.
+#: kept position of a passage's first MIN words is at most WINDOW - 1 = MIN - SEED words from its start, with SEED words
+#: to follow inside it.
 MIN, GRAM, SEED = 50, 8, 27
 WINDOW = MIN - SEED + 1
-LEFT, RIGHT = WINDOW, WINDOW + 14  # words around a seed that reach the next kept position, or a passage's end
+HOT = 1000  # suffixes of a seed that are grouped inside one task; those of more frequent seeds are aggregated by window
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -38,17 +38,22 @@ def _runs(words: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return _mixed(total)
 
 
-def positions(words: np.ndarray) -> np.ndarray:
-    """The retained suffixes: minimiser positions with a whole seed to follow; none in a text shorter than a passage."""
-    if len(words) < MIN:
+def _stands(words: np.ndarray) -> np.ndarray:
+    """For each run of MIN words the kept (minimiser) position inside it; never falling; none in a shorter text."""
+    n = len(words) - MIN + 1
+    if n < 1:
         return np.empty(0, np.int64)
-    grams = _runs(words, np.arange(len(words) - GRAM + 1), GRAM)
+    grams = _runs(words, np.arange(n + WINDOW - 1), GRAM)
     kept = []
-    for part in range(0, len(grams) - WINDOW + 1, 100_000):  # bounded memory for very long texts
-        view = np.lib.stride_tricks.sliding_window_view(grams[part : part + 100_000 + WINDOW - 1], WINDOW)
+    for part in range(0, n, 100_000):  # bounded memory for very long texts
+        view = np.lib.stride_tricks.sliding_window_view(grams[part : min(part + 100_000, n) + WINDOW - 1], WINDOW)
         kept.append(view.argmin(1) + np.arange(part, part + len(view)))
-    found = np.unique(np.concatenate(kept))
-    return found[found + SEED <= len(words)]
+    return np.concatenate(kept)
+
+
+def positions(words: np.ndarray) -> np.ndarray:
+    """The retained suffixes: kept positions, each with a whole seed to follow; none in a text shorter than a passage."""
+    return np.unique(_stands(words))
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,123 +71,109 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1].astype(np.int32)), pa.array(np.concatenate(seeds) if seeds else np.empty(0, np.int64))], names=["doc_id", "at", "seed"])
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each retained suffix with the words after its seed and, from the nearest on, the words before it, 16 bits each."""
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each retained suffix with the start of the first run of MIN words that it stands for, and the hashes of all of them."""
     for batch in batches:
         for doc, text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            words = word_hashes(text)
-            at = np.unique(np.array(places, np.int64))
-            at = at[at + SEED <= len(words)]
-            if not len(at):
+            words, places = word_hashes(text), np.unique(np.array(places, np.int64))
+            hot = places < 0
+            places = np.where(hot, -1 - places, places)
+            stands = _stands(words)
+            first, stop = (np.searchsorted(stands, places, side) for side in ("left", "right"))
+            held = stop > first
+            if not held.any():
                 continue
-            short = np.zeros(LEFT + len(words) + RIGHT + SEED, np.uint16)  # 0: beyond the text
-            short[LEFT : LEFT + len(words)] = np.maximum((words >> np.uint64(48)).astype(np.uint16), 1)
-            right = short[LEFT + at[:, None] + SEED + np.arange(RIGHT)].astype(">u2")
-            left = short[LEFT + at[:, None] - 1 - np.arange(LEFT)].astype(">u2")
-            blobs = [pa.array([row.tobytes() for row in side], pa.binary()) for side in (right, left)]
-            yield pa.RecordBatch.from_arrays([pa.array(_runs(words, at, SEED).view(np.int64)), *blobs, pa.array(np.full(len(at), doc, np.int64)), pa.array(at.astype(np.int32))], names=["seed", "right", "left", "doc_id", "at"])
-
-
-def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return ((a == b) & (a != 0)).cumprod(1).sum(1)
-
-
-SPANS = "doc_id long, start int, stop int, partner long, part int, seed long, right binary, left binary"
-
-
-def _compare(doc, at, right, left, i, j) -> list[np.ndarray]:
-    """(doc, start, stop, partner) of rows i for what they share with rows j of the same seed, if it is a passage."""
-    after, before = _common(right[i], right[j]), _common(left[i], left[j])
-    long = before + SEED + after >= MIN
-    i, j = i[long], j[long]
-    return [doc[i], at[i] - before[long], at[i] + SEED + after[long], doc[j]]
-
-
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over suffixes in order: what each shares with the nearest two of other documents before and after it.
-
-    Rows of a document that follow each other (it repeats itself) are passed over together. The first and last rows of a
-    partition are returned too, for the comparison across its ends.
-    """
-    part = TaskContext.get().partitionId()
-    held: list[pa.Table] = []
-    done, first_row, last_row = 0, None, None
-
-    def emit(table: pa.Table, since: int, final: bool) -> tuple[pa.RecordBatch | None, pa.Table, int]:
-        n = len(table)
-        seed, doc, at = (table.column(c).to_numpy().astype(np.int64) for c in ("seed", "doc_id", "at"))
-        right, left = (np.frombuffer(b"".join(table.column(c).to_pylist()), ">u2").reshape(n, -1) for c in ("right", "left"))
-        run = np.concatenate(([True], (seed[1:] != seed[:-1]) | (doc[1:] != doc[:-1]))).cumsum() - 1
-        starts = np.flatnonzero(np.diff(run, prepend=-1))
-        ends = np.append(starts[1:], n)
-        upto = n if final else int(starts[max(len(starts) - 2, 0)])  # two runs stay open for those before them
-        rows = np.arange(since, upto)
-        got = []
-        if len(rows):
-            for near in (starts[run[rows]] - 1, starts[run[rows]] - 2, ends[run[rows]], ends[run[rows]] + 1):
-                ok = (near >= 0) & (near < n)
-                i, j = rows[ok], near[ok]
-                same = (seed[i] == seed[j]) & (doc[i] != doc[j])
-                got.append(_compare(doc, at, right, left, i[same], j[same]))
-        back = int(starts[max(run[upto - 1] - 2, 0)]) if upto else 0
-        out = [np.concatenate([g[k] for g in got]) if got else np.empty(0, np.int64) for k in range(4)]
-        both = np.unique(np.stack(out), axis=1) if len(out[0]) else np.stack(out)
-        nothing = pa.nulls(both.shape[1], pa.binary())
-        made = pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1].astype(np.int32)), pa.array(both[2].astype(np.int32)), pa.array(both[3]), pa.nulls(both.shape[1], pa.int32()), pa.nulls(both.shape[1], pa.int64()), nothing, nothing], names=[c.split()[0] for c in SPANS.split(", ")])
-        return made, table.slice(back), upto - back
-
+            places, hot, first, n = places[held], hot[held], first[held], (stop - first)[held]
+            offsets = np.concatenate(([0], n.cumsum()))
+            starts = np.arange(offsets[-1]) + np.repeat(first - offsets[:-1], n)
+            hashes = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(_runs(words, starts, MIN).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(_runs(words, places, SEED).view(np.int64)), pa.array(hot), pa.array(np.full(len(n), doc, np.int64)), pa.array(first.astype(np.int32)), hashes], names=["seed", "hot", "doc_id", "first", "hashes"])
+
+
+SPANS = "doc_id long, start int, stop int, partner long"
+
+
+def _shared(docs: np.ndarray, first: np.ndarray, n: np.ndarray, hashes: np.ndarray) -> list[np.ndarray]:
+    """(doc, start, stop, partner): windows of equal hash in two documents, each with the smallest other one, joined to runs."""
+    row = np.repeat(np.arange(len(n)), n)
+    starts = np.arange(len(row)) + np.repeat(first - (n.cumsum() - n), n)
+    order = np.lexsort((docs[row], hashes))
+    key, doc = hashes[order], docs[row[order]]
+    new = np.concatenate(([True], key[1:] != key[:-1]))
+    group = new.cumsum() - 1
+    least = doc[new][group]
+    other = np.flatnonzero(doc != least)  # in order: the first of a group is of its second smallest document
+    had, at = np.unique(group[other], return_index=True)
+    second = np.full(group[-1] + 1 if len(group) else 0, -1)
+    second[had] = other[at]
+    ok = second[group] >= 0
+    low = np.where(doc == least, doc[second[group]], least) if len(group) else least
+    partner, whole = np.empty(len(row), np.int64), np.zeros(len(row), bool)
+    partner[order], whole[order] = low, ok
+    row, starts, partner = row[whole], starts[whole], partner[whole]
+    cut = np.concatenate(([True], (row[1:] != row[:-1]) | (starts[1:] != starts[:-1] + 1) | (partner[1:] != partner[:-1]))) if len(row) else np.empty(0, bool)
+    begin = np.flatnonzero(cut)
+    end = np.append(begin[1:], len(row)) - 1 if len(row) else begin
+    return [docs[row[begin]], starts[begin], starts[end] + MIN, partner[begin]]
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over suffixes sorted by seed: the runs of their windows that two documents hold."""
+
+    def done(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+        out = _shared(*(np.concatenate([p[i] for p in parts]) for i in (1, 2, 3, 4)))
+        return pa.RecordBatch.from_arrays([pa.array(out[0]), *(pa.array(x.astype(np.int32)) for x in out[1:3]), pa.array(out[3])], names=[c.split()[0] for c in SPANS.split(", ")])
+
+    held: list[list[np.ndarray]] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        table = pa.Table.from_batches([batch])
-        first_row = table.slice(0, 1).to_pylist()[0] if first_row is None else first_row
-        last_row = table.slice(len(table) - 1, 1).to_pylist()[0]
-        made, rest, done = emit(pa.concat_tables([*held, table]), done, False)
-        held = [rest]
-        yield made
-    if first_row is not None:
-        yield emit(held[0], done, True)[0]
-        ends = [first_row, last_row]
-        yield pa.RecordBatch.from_arrays([pa.array([r["doc_id"] for r in ends]), pa.array([r["at"] for r in ends], pa.int32()), pa.array([0, 1], pa.int32()), pa.nulls(2, pa.int64()), pa.array([part] * 2, pa.int32()), pa.array([r["seed"] for r in ends]), *(pa.array([r[c] for r in ends], pa.binary()) for c in ("right", "left"))], names=[c.split()[0] for c in SPANS.split(", ")])
-
-
-def _across(ends: list) -> list[tuple[int, int, int, int]]:
-    """What the last suffix of each partition shares with the first of the next one that has any."""
-    found = []
-    ends = sorted(ends, key=lambda r: (r["part"], r["stop"]))
-    for a, b in zip(ends[1::2], ends[2::2], strict=False):
-        if a["seed"] == b["seed"] and a["doc_id"] != b["doc_id"]:
-            side = lambda r, c: np.frombuffer(r[c], ">u2")[None, :]
-            doc, at = np.array([a["doc_id"], b["doc_id"]]), np.array([a["start"], b["start"]])
-            right, left = (np.concatenate((side(a, c), side(b, c))) for c in ("right", "left"))
-            got = _compare(doc, at, right, left, np.array([0, 1]), np.array([1, 0]))
-            found += [tuple(int(x) for x in row) for row in zip(*got, strict=True)]
-    return found
+        seed, doc, first = (c.to_numpy().astype(np.int64) for c in batch.columns[:3])
+        n = batch.column(3).value_lengths().to_numpy().astype(np.int64)
+        hashes = batch.column(3).flatten().to_numpy()
+        at = int(np.searchsorted(seed, seed[-1]))  # the last seed may go on in the next batch
+        cut = int(n[:at].sum())
+        if at or (held and held[0][0][0] != seed[0]):
+            yield done([*held, [seed[:at], doc[:at], first[:at], n[:at], hashes[:cut]]])
+            held = [[seed[at:], doc[at:], first[at:], n[at:], hashes[cut:]]]
+        else:
+            held.append([seed, doc, first, n, hashes])
+    if held:
+        yield done(held)
+
+
+def _of_hot(windows: DataFrame) -> DataFrame:
+    """The same as ``_groups`` for seeds of any number of suffixes, a row a window: by aggregates and joins on its hash."""
+    c = F.col
+    each = windows.select("doc_id", "first", F.posexplode("hashes").alias("i", "hash")).select("doc_id", (c("first") + c("i")).alias("start"), "hash")
+    ends = each.groupBy("hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least <> most").select("hash", "least")
+    met = written(join_on_hot_key(each, ends, "hash"), "met")
+    second = met.where("doc_id <> least").groupBy("hash").agg(F.min("doc_id").alias("partner"))
+    run = ["doc_id", "start", (c("start") + MIN).alias("stop")]
+    return met.where("doc_id <> least").select(*run, c("least").alias("partner")).unionAll(join_on_hot_key(met.where("doc_id = least"), second, "hash").select(*run, "partner"))
 
 
 def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start, stop, partner): runs of words [start, stop) of a document that another, ``partner``, holds too.
+    """(doc_id, start, stop, partner): runs of words [start, stop) of a document that others hold too, all of whose runs of
+    50 words are in ``partner``, the smallest id of another document for each.
 
-    Suffixes are kept at minimiser positions only, those whose next 27 words occur in two documents are sorted by what
-    follows and what precedes, and neighbours of different documents are compared and extended both ways. A passage of
-    50 words or more that is in two documents has such a position in both. Longer passages come as overlapping runs.
-    Words are compared by hashes (64 bits for the seed, 16 for each word around it: an end may lie a word too far once in
-    65,536). Texts of fewer words, null ids and null texts have none; rows of one id are one document.
+    Every run of 50 words stands at a minimiser position inside it, chosen by its words alone, with 27 words (the seed) to
+    follow inside it: equal runs have equal seeds. So all runs at positions whose seed is in two documents are compared, by
+    hashes of 64 bits, and no other can be shared. Longer passages come as overlapping runs. Texts of fewer words, null ids
+    and null texts have none; rows of one id are one document.
     """
     c = F.col
     docs = df.select(c(id_col).cast("long").alias("doc_id"), c(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     anchors = written(docs.mapInArrow(_anchors, "doc_id long, at int, seed long"), "anchors")
-    shared = anchors.groupBy("seed").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("seed")
-    kept = join_on_hot_key(anchors, shared, "seed").groupBy("doc_id").agg(F.collect_list("at").alias("places"))
-    suffixes = written(docs.join(kept.hint("merge"), "doc_id").select("doc_id", "text", "places").mapInArrow(_contexts, "seed long, right binary, left binary, doc_id long, at int"), "suffixes")
+    shared = anchors.groupBy("seed").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).where("a <> b").select("seed", (c("n") > HOT).alias("hot"))
+    place = F.when(c("hot"), -1 - c("at")).otherwise(c("at"))
+    kept = join_on_hot_key(anchors, shared, "seed").groupBy("doc_id").agg(F.collect_list(place).alias("places"))
+    windows = written(docs.join(kept.hint("merge"), "doc_id").select("doc_id", "text", "places").mapInArrow(_windows, "seed long, hot boolean, doc_id long, first int, hashes array<long>"), "windows")
     discard(anchors)
-    order = ["seed", "right", "left", "doc_id", "at"]
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = written(suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_neighbours, SPANS), "found")
-    discard(suffixes)
-    ends = found.where("part IS NOT NULL").collect()  # two rows a partition
-    across = df.sparkSession.createDataFrame(_across(ends), "doc_id long, start int, stop int, partner long")
-    return found.where("part IS NULL").select("doc_id", "start", "stop", "partner").unionAll(across)
+    rest = windows.where("NOT hot").select("seed", "doc_id", "first", "hashes")
+    found = written(rest.repartition("seed").sortWithinPartitions("seed").mapInArrow(_groups, SPANS).unionAll(_of_hot(windows.where("hot"))), "found")
+    discard(windows)
+    return found
 
 
 def merge(runs: list[dict], first: str = "start", last: str = "stop") -> list[tuple[int, int]]:
