@@ -101,3 +101,17 @@ def test_all_but_the_smallest_holder_lose_a_short_passage(spark, monkeypatch):
     assert [sum(p in t for t in left) for p in passages] == [1] * 4
     monkeypatch.setattr(suffixes, "HOT", 20)  # the same by way of the aggregates
     assert found(df) == want
+
+
+def test_a_passage_left_of_a_frequent_line(spark, monkeypatch):
+    rng, fill = filler(27)
+    docs = []
+    for shared, line in ((10, 45), (20, 32), (15, 35), (5, 47), (23, 27)) * 8:
+        common, before, pair = fill(line), fill(shared), set(rng.integers(0, 120, 2).tolist())
+        for k in range(120):
+            docs.append((len(docs), " ".join([fill(40), before if k in pair else fill(shared), common, fill(40)])))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    want = exact(docs)
+    assert found(df) == want and len(want) >= 70
+    monkeypatch.setattr(suffixes, "HOT", 20)
+    assert found(df) == want
