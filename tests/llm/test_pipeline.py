@@ -39,6 +39,25 @@ def test_near_duplicates_against_exact_likeness(spark):
     assert all(g // 6 == d // 6 for d, g in got.items())
 
 
+def test_links_are_decided_on_all_shingles(spark):
+    rng, docs, pairs = np.random.default_rng(4), [], []
+    for k in range(160):
+        base = [f"w{x}" for x in rng.integers(0, 50_000, 900)]
+        other = list(base)
+        for at in rng.choice(900, (22, 18)[k % 2], replace=False):
+            other[at] = f"x{k}"
+        docs += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+        a, b = shingles(docs[-2][1]), shingles(docs[-1][1])
+        pairs.append(len(a & b) / len(a | b))
+    got = {r.doc_id: r.group for r in neardup.groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    under = [k for k, j in enumerate(pairs) if 0.75 < j < 0.8]
+    over = [k for k, j in enumerate(pairs) if j >= 0.8]
+    assert len(under) > 40 and len(over) > 40
+    together = {k for k in range(len(pairs)) if got[2 * k] == got[2 * k + 1]}
+    assert not together.intersection(under)
+    assert len(together.intersection(over)) > 0.9 * len(over)
+
+
 def test_deduplicate_odd_rows(spark):
     t = "one two three four five six seven"
     rows = [(3, t), (2, t.upper()), (2, t.upper()), (None, t), (5, None), (6, ""), (7, " "), (8, "x"), (9, "x " * 50_000)]

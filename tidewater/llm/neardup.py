@@ -101,10 +101,41 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done([np.concatenate([h[i] for h in held]) for i in range(4)])
 
 
-def _verified(threshold: float):
+def _close(threshold: float):
+    """Pairs whose sketches don't rule out ``threshold``: within six standard errors of it, more where few bins are filled."""
+
+    def near(a: bytes, b: bytes) -> bool:
+        filled = int(((np.frombuffer(a, np.uint16) | np.frombuffer(b, np.uint16)) != 0).sum())
+        return alike(a, b) >= threshold - 6 * 0.5 / max(filled, 1) ** 0.5
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [near(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def likeness(x: np.ndarray, y: np.ndarray) -> float:
+    """Jaccard likeness of two sets of distinct shingle hashes; 1 if both are empty."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
+
+
+def _verified(threshold: float, size: int = 5):
+    """Over (u, v, a, b): the pairs whose texts a and b are alike by all their shingles."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [alike(a, b) >= threshold for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            keep, known = [], {}
+            for i in range(batch.num_rows):
+                pair = [batch.column(k)[i].as_py() for k in (2, 3)]
+                if len(known) > 64:  # bounded memory; rows of a text lie together
+                    known = {t: known[t] for t in pair if t in known}
+                for t in pair:
+                    if t not in known:
+                        known[t] = np.unique(shingle_hashes(t, size))
+                keep.append(likeness(known[pair[0]], known[pair[1]]) >= threshold)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -113,8 +144,8 @@ def _verified(threshold: float):
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """(doc_id, group): documents that are copies or near copies of another, and the smallest id of their group.
 
-    Documents link at an estimated Jaccard likeness of five-word shingles of ``threshold`` or more (256 bins: standard
-    error 0.025). Candidates share one of six 21-bit segments of a fingerprint of word pairs up to one bit; in each
+    Documents link at a Jaccard likeness of five-word shingles of ``threshold`` or more, decided on all shingles of both
+    texts; sketches of 256 bins (standard error 0.025) only leave out pairs far below it. Candidates share one of six 21-bit segments of a fingerprint of word pairs up to one bit; in each
     bucket a document is compared with its nearest others. Documents without words are not grouped. Documents of no
     group, and rows with a null id, have no row. Rows of one id are one document. Other columns are not used; an empty
     table gives an empty result.
@@ -133,6 +164,11 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     sketches = nodes.select("node", "sketch")
     met = join_on_hot_key(pairs, sketches.select(F.col("node").alias("u"), F.col("sketch").alias("a")), "u")
     met = join_on_hot_key(met, sketches.select(F.col("node").alias("v"), F.col("sketch").alias("b")), "v")
+    close = written(met.select("u", "v", "a", "b").mapInArrow(_close(threshold), "u long, v long").distinct(), "close")
+    ends = close.select(F.col("u").alias("doc_id")).unionAll(close.select(F.col("v").alias("doc_id"))).distinct()
+    texts = given.join(ends, "doc_id", "left_semi")
+    met = join_on_hot_key(close, texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u")
+    met = join_on_hot_key(met, texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v")
     links = met.select("u", "v", "a", "b").mapInArrow(_verified(threshold), "u long, v long")
     roots = written(components(links).withColumnRenamed("root", "group"), "roots")
     of = nodes.join(roots, "node", "left").select("lo", "hi", "sketch", "node", F.coalesce("group", "node").alias("group"))
