@@ -49,94 +49,123 @@ def permuted(i: Column, n: Column, seed: Column, rounds: int = 24) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), i.cast("long"), step)
 
 
-def _starts(by_cell: DataFrame) -> DataFrame:
-    """Words of a source before each of its cells: sums over runs of 1024 cells first, then inside each run."""
-    so_far = lambda what, w: F.coalesce(F.sum(what).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cells = by_cell.withColumn("run", F.floor(F.col("cell") / 1024))
-    runs = cells.groupBy("key", "run").agg(F.sum("words").alias("words"))
-    runs = runs.select("key", "run", so_far("words", Window.partitionBy("key").orderBy("run")).alias("before"))
-    inner = cells.withColumn("inner", so_far("words", Window.partitionBy("key", "run").orderBy("cell")))
-    return inner.join(runs, ["key", "run"]).select("key", "cell", (F.col("before") + F.col("inner")).alias("ahead"))
-
-
-def plan_blocks(df: DataFrame, id_col: str, text_col: str, source_col: str, block: int, share: float, most: float, weights: tuple[int, ...], seed: int, docs_per_cell: int = 512, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """Lay each source's words end to end in blocks of ``block`` words, and draw slots for the mix.
-
-    Returns the documents (doc_id, source, size, source_size, target, at: the place of the first word in its source;
-    key, cell, nth: a key of the row; and ``keep``) and the slots (source, key, i: the slot's number, turn: its place in
-    the round, n: blocks of the source). Documents follow each other in a pseudorandom order; a source is laid out in
-    cells of a few hundred documents, so a source with most of the rows needs no single task.
+def _starts(counts: DataFrame, at: str, what: str) -> DataFrame:
+    """(key, at, ahead): what a source has before each of its places: sums over runs of 1024 places first, then inside each run."""
+    so_far = lambda w: F.coalesce(F.sum(what).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = counts.withColumn("run", F.floor(F.col(at) / 1024))
+    runs = places.groupBy("key", "run").agg(F.sum(what).alias(what))
+    runs = runs.select("key", "run", so_far(Window.partitionBy("key").orderBy("run")).alias("before"))
+    inner = places.withColumn("inner", so_far(Window.partitionBy("key", "run").orderBy(at)))
+    return inner.join(runs, ["key", "run"]).select("key", at, (F.col("before") + F.col("inner")).alias("ahead"))
+
+
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Few wide rows dealt over the named number of partitions, so that they don't end in one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def shard_counts(sources: DataFrame, shards: Column, seed: int) -> DataFrame:
+    """(shard, key, slots): how many of its ``slots`` each source (key, slots) has in every output shard.
+
+    A multinomial draw over the shards with each source's total given, so totals are the targets': each slot falls into a
+    shard by a hash of its source and number. Shards without a slot of a source have no row.
     """
     c = F.col
-    rows = df.select(c(id_col).cast("long").alias("doc_id"), c(source_col).cast("string").alias("source"), n_words(c(text_col).cast("string")).alias("size"), *[c(k) for k in keep])
+    runs = sources.withColumn("shards", shards).where("slots > 0").select("key", "slots", "shards", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((c("slots") - 1) / 1024))).alias("run"))
+    each = _spread(runs, "key", "run").select("key", "shards", F.explode(F.sequence(c("run") * 1024, F.least(c("slots"), (c("run") + 1) * 1024) - 1)).alias("i"))
+    return each.groupBy(F.pmod(F.xxhash64(F.lit(seed), "key", "i"), c("shards")).alias("shard"), "key").agg(F.count("*").alias("slots"))
+
+
+def plan_blocks(df: DataFrame, id_col: str, text_col: str, source_col: str, block: int, share: float, most: float, weights: tuple[int, ...], seed: int, docs_per_cell: int = 512, per_shard: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """Lay each source's words end to end in blocks, and draw slots for the mix.
+
+    Returns the documents (doc_id, source, size, source_size, target, block: words of a block of its source, at: the place
+    of the first word in its source; key, cell, nth: a key of the row; print: a hash of its text) and the slots (shard,
+    source, key, i: the slot's number in its source, turn: its place in the round, n: blocks of the source).
+
+    Documents follow each other in a pseudorandom order; a source is laid out in cells of a few hundred documents, so a
+    source with most of the rows needs no single task. Blocks have ``block`` words, or a 512th of a smaller source. A
+    source's slots are dealt to output shards of about ``per_shard`` slots by ``shard_counts`` and numbered shard by shard.
+    """
+    c = F.col
+    rows = df.select(c(id_col).cast("long").alias("doc_id"), c(source_col).cast("string").alias("source"), n_words(c(text_col).cast("string")).alias("size"), F.xxhash64(c(text_col).cast("string")).alias("print"))
     cells = max(1, -(-df.count() // docs_per_cell))
-    rows = rows.withColumn("key", _key()).withColumn("cell", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(cells)))
+    rows = rows.withColumn("key", _key()).withColumn("cell", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "print"), F.lit(cells)))
     by_cell = written(rows.groupBy("key", "cell").agg(F.first("source").alias("source"), F.sum("size").alias("words")), "cells")
-    aims = written(targets(by_cell.groupBy("source").agg(F.sum("words").alias("source_size")), share, most, weights).withColumn("key", _key()), "targets")
-    inside = Window.partitionBy("key", "cell").orderBy(F.xxhash64(F.lit(seed), F.lit(1), "doc_id"), "doc_id", "size", *[c(k) for k in keep])
+    aims = targets(by_cell.groupBy("source").agg(F.sum("words").alias("source_size")), share, most, weights).withColumn("key", _key())
+    aims = written(aims.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(block), F.floor(c("source_size") / 512))).cast("long")), "targets")
+    inside = Window.partitionBy("key", "cell").orderBy(F.xxhash64(F.lit(seed), F.lit(1), "doc_id", "print"), "doc_id", "size", "print")
     placed = rows.withColumn("nth", F.row_number().over(inside)).withColumn("before", F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = placed.join(_starts(by_cell).hint("merge"), ["key", "cell"]).join(aims.drop("source"), "key")
-    docs = placed.select("doc_id", "source", "size", "source_size", "target", (c("ahead") + c("before")).alias("at"), "key", "cell", "nth", *keep)
+    placed = placed.join(_starts(by_cell, "cell", "words").hint("merge"), ["key", "cell"]).join(aims.drop("source"), "key")
+    docs = placed.select("doc_id", "source", "size", "source_size", "target", "block", (c("ahead") + c("before")).alias("at"), "key", "cell", "nth", "print")
 
-    drawn = aims.where("source_size > 0").withColumn("n", F.ceil(c("source_size") / block))
+    drawn = aims.where("source_size > 0").withColumn("n", F.ceil(c("source_size") / c("block")))
     drawn = drawn.withColumn("slots", F.least(F.round(c("target") * c("n") / c("source_size")), F.floor(c("n") * F.lit(most))).cast("long"))
-    runs = drawn.where("slots > 0").select("source", "key", "n", "slots", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((c("slots") - 1) / 1024))).alias("run"))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, so that few wide rows aren't put into one task
-    slots = runs.repartition(parts, "key", "run").select("source", "key", "n", F.explode(F.sequence(c("run") * 1024, F.least(c("slots"), (c("run") + 1) * 1024) - 1)).alias("i"))
+    shards = F.greatest(F.lit(1).cast("long"), F.ceil(F.sum("slots").over(Window.partitionBy()) / per_shard))
+    counts = written(shard_counts(drawn.select("key", "slots"), shards, seed), "counts")
+    numbered = counts.join(_starts(counts, "shard", "slots"), ["key", "shard"]).join(drawn.select("key", "source", "n"), "key")
+    slots = _spread(numbered, "key", "shard").select("shard", "source", "key", "n", F.explode(F.sequence(c("ahead"), c("ahead") + c("slots") - 1)).alias("i"))
     return docs, slots.withColumn("turn", c("i") % c("n"))
 
 
-def drawn_blocks(slots: DataFrame, seed: int) -> DataFrame:
-    """Slots mapped through their source's permutation of its blocks: (key, b: block, times)."""
-    return slots.select("key", permuted(F.col("turn"), F.col("n"), F.xxhash64(F.lit(seed), "key")).alias("b")).groupBy("key", "b").agg(F.count("*").alias("times"))
-
+def with_block(slots: DataFrame, seed: int) -> DataFrame:
+    """Slots with b: the block of their source that its permutation gives them."""
+    return slots.withColumn("b", permuted(F.col("turn"), F.col("n"), F.xxhash64(F.lit(seed), "key")))
 
-def shard_counts(slots: DataFrame, shards: int, seed: int) -> DataFrame:
-    """The multinomial draw behind the mix: how many slots of each source every output shard gets, (shard, source, slots)."""
-    shard = F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "source", "i"), F.lit(shards))
-    return slots.groupBy(shard.alias("shard"), "source").agg(F.count("*").alias("slots"))
 
-
-def overlaps(docs: DataFrame, slots: DataFrame, block: int, seed: int) -> DataFrame:
+def overlaps(docs: DataFrame, slots: DataFrame, seed: int) -> DataFrame:
     """A row for each document and drawn block that it reaches into: its key, cell and nth, lo and hi (words of the document), times (1 or 2)."""
     c = F.col
-    spans = docs.where("size > 0").select("key", "cell", "nth", "at", "size", F.explode(F.sequence(F.floor(c("at") / block), F.floor((c("at") + c("size") - 1) / block))).alias("b"))
-    met = spans.join(drawn_blocks(slots, seed).hint("merge"), ["key", "b"])
-    return met.select("key", "cell", "nth", F.greatest(c("b") * block - c("at"), F.lit(0)).alias("lo"), F.least((c("b") + 1) * block - c("at"), c("size")).alias("hi"), "times")
+    drawn = with_block(slots, seed).groupBy("key", "b").agg(F.count("*").alias("times"))
+    spans = docs.where("size > 0").select("key", "cell", "nth", "at", "size", "block", F.explode(F.sequence(F.floor(c("at") / c("block")), F.floor((c("at") + c("size") - 1) / c("block")))).alias("b"))
+    met = spans.join(drawn.hint("merge"), ["key", "b"])
+    return met.select("key", "cell", "nth", F.greatest(c("b") * c("block") - c("at"), F.lit(0)).alias("lo"), F.least((c("b") + 1) * c("block") - c("at"), c("size")).alias("hi"), "times")
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 256, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 7) -> DataFrame:
     """doc_id, size (words), source_size, target (words of its source), taken (words that the mix takes, repeats counted).
 
-    Words are packed into blocks by source; every source gets as many slots as its target holds blocks; slots go round
-    the source's permutation of its blocks, so a block is taken once or twice at most before any is taken again.
+    Words are packed into blocks by source; every source has as many slots as its target holds blocks, and a multinomial
+    draw tells how many of them each output shard gets. Slots, numbered shard by shard, go round the source's permutation of
+    its blocks, so a block is taken once or twice at most before any is taken again.
 
     A null or empty text has size 0 and takes 0. A null source is a source of its own, the last. Null ids are kept,
-    repeated rows each count and get a row, other columns are not used, an empty table gives an empty result.
+    repeated rows each count and get a row (a few hundred rows of one id and text are placed by one task, and more in it if
+    there are more), other columns are not used, an empty table gives an empty result. Texts are only counted, one at a
+    time. The sources' own table, a row each, is ordered in one task.
     """
     docs, slots = plan_blocks(df, id_col, text_col, source_col, block, share, most, weights, seed)
     docs = written(docs, "placed")
-    taken = overlaps(docs, slots, block, seed).groupBy("key", "cell", "nth").agg(F.sum((F.col("hi") - F.col("lo")) * F.col("times")).alias("taken"))
+    taken = overlaps(docs, slots, seed).groupBy("key", "cell", "nth").agg(F.sum((F.col("hi") - F.col("lo")) * F.col("times")).alias("taken"))
     met = docs.join(taken.hint("merge"), ["key", "cell", "nth"], "left")
     return met.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+def mixed_blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 256, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 7) -> DataFrame:
+    """The mix as blocks: (shard, source, i: the slot's number in its source, b: the block that it takes), as ``mix`` takes them."""
+    _, slots = plan_blocks(df, id_col, text_col, source_col, block, share, most, weights, seed)
+    return with_block(slots, seed).select("shard", "source", "i", "b")
+
+
 def mixed_documents(df: DataFrame, block: int = 256, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 7) -> DataFrame:
     """The mix itself, for documents (doc_id, text, lang, source, n_chars): the words that it takes, as documents.
 
     A document whose blocks are drawn gives a row with its taken words, in order and with the white space before them,
     and a second row with the words taken twice; a document of which nothing is taken gives none. Texts taken whole stay
-    as they are.
+    as they are. Null and empty texts give none; a null id, language or source is kept; repeated rows are each a document;
+    other columns are not returned; an empty table gives an empty result. A text is held whole, split into its words, while
+    it is cut.
     """
     c = F.col
     docs, slots = plan_blocks(df, "doc_id", "text", "source", block, share, most, weights, seed)
     docs = written(docs, "placed")
-    parts = overlaps(docs, slots, block, seed).groupBy("key", "cell", "nth").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "times"))).alias("parts"))
-    same = Window.partitionBy("doc_id", "size")
-    taken = docs.join(parts.hint("merge"), ["key", "cell", "nth"]).select("doc_id", "size", "parts", F.row_number().over(same.orderBy("key", "cell", "nth")).alias("copy"))
-    taken = taken.select(c("doc_id").alias("d"), c("size").alias("n"), c("copy").alias("k"), "parts")
-    texts = df.select("doc_id", "text", "lang", "source").withColumn("size", n_words(c("text"))).withColumn("copy", F.row_number().over(same.orderBy("source", "text")))
-    met = texts.join(taken.hint("merge"), c("doc_id").eqNullSafe(c("d")) & (c("size") == c("n")) & (c("copy") == c("k")))
+    parts = overlaps(docs, slots, seed).groupBy("key", "cell", "nth").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "times"))).alias("parts"))
+    # a row finds its text by id, source and a hash of the text; rows alike in all of these are numbered on both sides
+    same = Window.partitionBy("doc_id", "key", "print")
+    taken = docs.withColumn("copy", F.row_number().over(same.orderBy("cell", "nth"))).join(parts.hint("merge"), ["key", "cell", "nth"])
+    taken = taken.select(c("doc_id").alias("d"), c("key").alias("s"), c("print").alias("p"), c("copy").alias("k"), "parts", "size")
+    texts = df.select("doc_id", "text", "lang", "source").withColumns({"key": _key(), "print": F.xxhash64("text")}).withColumn("copy", F.row_number().over(same.orderBy("lang")))
+    met = texts.join(taken.hint("merge"), c("doc_id").eqNullSafe(c("d")) & (c("key") == c("s")) & (c("print") == c("p")) & (c("copy") == c("k")))
     turns = met.withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), F.array_max(F.transform("parts", lambda p: p["times"])))))
     turns = turns.withColumn("mine", F.filter("parts", lambda p: p["times"] >= c("turn")))
     words = F.aggregate("mine", F.lit(0).cast("long"), lambda n, p: n + p["hi"] - p["lo"])
