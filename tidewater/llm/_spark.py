@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,18 @@ def discard(table: DataFrame) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows, so that a worker turns few texts at a time into Python's own."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def if_small(keys: DataFrame, rows: int = 2_000_000) -> DataFrame:
+    """``keys`` (a written table of one long) marked to be broadcast if it has at most ``rows`` rows, 16 MB; else to be merged."""
+    return F.broadcast(keys) if keys.limit(rows + 1).count() <= rows else keys.hint("merge")
+
+
 def join_on_hot_key(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """Join on a long key that may be hot on the left side and is unique on the right.
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import components, discard, join_on_hot_key, written
+from ._spark import components, discard, if_small, join_on_hot_key, sliced, written
 from .simhash import majority_bits, shingle_hashes
 
 #: Four fingerprints of 64 bits, of which three segments of 18 bits each are indexed: at a likeness of 0.8 some 15 % of the
@@ -19,11 +19,13 @@ FINGERPRINTS, SEGMENTS, WIDTH = 4, 12, 18
 #: A segment has three parts. Texts that differ in one bit of it agree in two parts, so rows meet by each two parts (3 rows
 #: a segment instead of 18), and the six wildcards of the third are tried inside the task.
 PART = WIDTH // 3
-#: Bits of 256 that a candidate may differ by: 3.3 standard deviations over what a likeness of 0.8 gives.
-FAR = 58
+#: Bits of 256 that a candidate may differ by: 2.7 standard deviations over what a likeness of 0.8 gives.
+FAR = 54
 BINS = 256
+#: Least shingle hashes kept of a text for the second round: all of them in a text of so many at most.
+LEAST = 256
 #: Standard errors below the threshold at which a sketch rules a pair out.
-ERRORS = 4.0
+ERRORS = 3.0
 #: Rows of a run (equal up to its wildcard) whose pairs are all tested at once; larger runs are linked by stars first.
 RUN = 64
 _U = np.uint64
@@ -63,25 +65,45 @@ def likely(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
     return equal >= (threshold - margin) * either
 
 
+def least(hashes: np.ndarray) -> bytes:
+    """The ``LEAST`` smallest of a set's hashes by their upper halves, ascending, filled up with the largest number."""
+    out = np.full(LEAST, 0xFFFFFFFF, np.uint32)
+    some = np.unique(hashes >> _U(32)).astype(np.uint32)[:LEAST]
+    out[: len(some)] = some
+    return out.tobytes()
+
+
+def nearly(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether the least hashes (rows, LEAST) don't rule the threshold out: exactly if both rows hold whole sets, else by ``ERRORS`` standard errors."""
+    both = np.sort(np.concatenate((a, b), 1), 1)
+    twice = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != 0xFFFFFFFF)
+    some = np.concatenate((np.ones((len(a), 1), bool), both[:, 1:] != both[:, :-1]), 1) & (both != 0xFFFFFFFF)
+    whole = (a[:, -1] == 0xFFFFFFFF) & (b[:, -1] == 0xFFFFFFFF)
+    seen = some.cumsum(1) <= np.where(whole, 2 * LEAST, LEAST)[:, None]
+    equal, either = (twice & seen[:, 1:]).sum(1), (some & seen).sum(1)
+    margin = np.where(whole, 0.01, ERRORS * np.sqrt(threshold * (1 - threshold) / LEAST))
+    return equal >= (threshold - margin) * either
+
+
 def _described(df: DataFrame, text_col: str, size: int) -> DataFrame:
-    """Every row of ``df`` (as the struct r) with a number, and what is compared: class, fingerprints, size, sketch."""
+    """Every row of ``df`` (as the struct r) with a number, and what is compared: class, fingerprints, size, sketch, least hashes."""
     names = ["c0", "c1", "f0", "f1", "f2", "f3"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             known: dict[str | None, tuple] = {}
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(0).field(text_col).cast(pa.string()).to_pylist()
             for t in texts:
                 if t not in known:
                     hashes = np.unique(shingle_hashes(t, size))
                     same = xxhash.xxh3_128_intdigest(hashes.tobytes())
-                    known[t] = ([same & (1 << 64) - 1, same >> 64, *fingerprints(hashes)], len(hashes), sketch(hashes))
+                    known[t] = ([same & (1 << 64) - 1, same >> 64, *fingerprints(hashes)], len(hashes), sketch(hashes), least(hashes))
             longs = np.array([known[t][0] for t in texts], np.uint64).reshape(-1, len(names)).view(np.int64)
             columns = [pa.array(np.ascontiguousarray(c)) for c in longs.T]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns, pa.array([known[t][1] for t in texts], pa.int32()), pa.array([known[t][2] for t in texts], pa.binary())], names=["r", "text", *names, "size", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array([known[t][1] for t in texts], pa.int32()), *(pa.array([known[t][k] for t in texts], pa.binary()) for k in (2, 3))], names=["r", *names, "size", "sketch", "least"])
 
-    given = df.select(F.struct("*").alias("r"), F.col(text_col).cast("string").alias("text"))
-    schema = f"r {given.schema['r'].dataType.simpleString()}, text string, " + ", ".join(f"{n} long" for n in names) + ", size int, sketch binary"
+    given = df.select(F.struct("*").alias("r"))
+    schema = f"r {given.schema['r'].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names) + ", size int, sketch binary, least binary"
     return given.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())  # fixed once written
 
 
@@ -207,8 +229,8 @@ def _first_round(rows: _Rows) -> pa.RecordBatch:
 
 
 def _second_round(rows: _Rows) -> pa.RecordBatch:
-    """All pairs of different components that meet and whose sketches don't rule them out."""
-    comp, sketches = rows.more
+    """All pairs of different components that meet and whose least hashes don't rule them out."""
+    comp, least_of = rows.more
     us, vs = [], []
 
     def test(i: np.ndarray, j: np.ndarray, b: int) -> None:
@@ -216,9 +238,9 @@ def _second_round(rows: _Rows) -> pa.RecordBatch:
         i, j = i[apart], j[apart]
         ok = rows.meets(i, j, b)
         i, j = i[ok], j[ok]
-        for at in range(0, len(i), 20_000):
-            part = slice(at, at + 20_000)
-            fine = likely(sketches[i[part]], sketches[j[part]], rows.threshold)
+        for at in range(0, len(i), 4096):
+            part = slice(at, at + 4096)
+            fine = nearly(least_of[i[part]], least_of[j[part]], rows.threshold)
             us.append(j[part][fine])
             vs.append(i[part][fine])
 
@@ -244,8 +266,7 @@ def _by_groups(done: Callable[[_Rows], pa.RecordBatch], threshold: float) -> Cal
     def held(batch: pa.RecordBatch) -> list[np.ndarray]:
         columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:8]]
         if batch.num_columns > 8:
-            sketches = batch.column(8)
-            columns.append(np.frombuffer(b"".join(sketches.to_pylist()), np.uint8).reshape(-1, BINS))
+            columns.append(np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint32).reshape(-1, LEAST))
         return columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,7 +303,7 @@ def _alike(threshold: float, size: int) -> Callable:
     """Over (u, v, a, b): the pairs whose texts a and b are alike by all their shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             keep, known = [], {}
             for i in range(batch.num_rows):
                 pair = [batch.column(k)[i].as_py() for k in (2, 3)]
@@ -303,10 +324,10 @@ def _with_both(pairs: DataFrame, of: DataFrame, key: str, value: str) -> DataFra
     return join_on_hot_key(met, of.select(F.col(key).alias("v"), F.col(value).alias("b")), "v").select("u", "v", "a", "b")
 
 
-def _links(pairs: DataFrame, rows: DataFrame, threshold: float, size: int) -> DataFrame:
-    """The ``pairs`` (u, v) whose texts are alike. Only texts that a pair names are moved."""
-    ends = pairs.select(F.col("u").alias("row")).unionAll(pairs.select(F.col("v").alias("row"))).distinct()
-    texts = rows.select("row", "text").join(ends, "row", "left_semi")
+def _links(pairs: DataFrame, rows: DataFrame, text_col: str, threshold: float, size: int) -> DataFrame:
+    """The ``pairs`` (u, v) whose texts are alike. Only texts that a pair names go on."""
+    ends = written(pairs.select(F.col("u").alias("row")).unionAll(pairs.select(F.col("v").alias("row"))).distinct(), "ends")
+    texts = rows.select("row", F.col(f"r.`{text_col}`").cast("string").alias("text")).join(if_small(ends), "row", "left_semi")
     return _with_both(pairs, texts, "row", "text").sortWithinPartitions("v").mapInArrow(_alike(threshold, size), "u long, v long")
 
 
@@ -322,12 +343,15 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, threshold: float, size:
     met = written(_keyed(nodes).mapInArrow(_by_groups(_first_round, threshold), "u long, v long, more_u boolean, more_v boolean"), "met")
     pairs = met.select("u", "v").distinct()
     near = written(_with_both(pairs, nodes, "node", "sketch").mapInArrow(_sifted(threshold), "u long, v long"), "near")
-    roots = written(components(_links(near, rows, threshold, size)), "roots")
-    # what met more than it was compared with is compared again, now only across components, and with its sketch at hand
+    roots = written(components(_links(near, rows, text_col, threshold, size)), "roots")
+    # what met more than it was compared with is compared again, now only across components, and with its least hashes at hand
     more = met.select(F.explode(F.array(F.when(c("more_u"), c("u")), F.when(c("more_v"), c("v")))).alias("node")).where("node IS NOT NULL").distinct()
-    open_ = nodes.join(more, "node", "left_semi").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node"))
-    rest = _keyed(open_, "comp", "sketch").mapInArrow(_by_groups(_second_round, threshold), "u long, v long")
-    left = written(_links(written(rest.distinct(), "rest"), rows, threshold, size), "left")
+    more = written(more, "more")
+    hashes = rows.select(c("row").alias("node"), "least").join(if_small(more), "node", "left_semi")
+    open_ = nodes.drop("sketch").join(hashes, "node").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node"))
+    rest = _keyed(open_, "comp", "least").mapInArrow(_by_groups(_second_round, threshold), "u long, v long")
+    rest = written(rest, "rest")
+    left = written(_links(rest, rows, text_col, threshold, size), "left")
     known = roots.withColumnRenamed("node", "u").withColumnRenamed("root", "to")
     joint = left.join(known, "u", "left").select(F.coalesce("to", "u").alias("u"), F.col("v").alias("w"))
     joint = joint.join(roots.withColumnRenamed("node", "w").withColumnRenamed("root", "to"), "w", "left").select("u", F.coalesce("to", "w").alias("v"))
@@ -337,7 +361,7 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, threshold: float, size:
     named = written(named.join(joined, "comp", "left").select("c0", "c1", "n", "first", F.coalesce("last", "comp").alias("group")), "named")
     whole = named.groupBy("group").agg(F.min("first").alias("stays"), F.sum("n").alias("rows")).where("rows > 1")
     out = written(join_on_hot_key(named.select("c0", "c1", "group"), whole, "group").select("c0", "c1", c("stays.row").alias("kept_row"), c("stays.id").alias("kept_id")), "classes")
-    for table in (nodes, met, near, roots, left, named):
+    for table in (nodes, met, near, roots, more, rest, left, named):
         discard(table)
     return rows, out
 
@@ -348,7 +372,7 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     Texts link at a Jaccard likeness of ``size``-word shingle sets of ``threshold`` or more, decided on all shingles of both.
     Candidates share one of twelve segments of their SimHashes up to one bit. A first round compares each with the smallest
     it meets and joins what links; a second one compares every pair across components that is left, so large groups of
-    near copies cost a pair a member, and no candidate is dropped. Sketches of 256 bins rule out pairs four standard errors
+    near copies cost a pair a member, and no candidate is dropped. Sketches of 256 hashes rule out pairs three standard errors
     under the threshold.
 
     Rows without words (null, empty, blank texts) are in no group. A row with a null id takes part; a group of such only
@@ -367,4 +391,4 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     """
     rows, classes = _grouped(df, id_col, text_col, threshold, size)
     gone = written(rows.select("c0", "c1", "row").join(classes, ["c0", "c1"]).where("row <> kept_row").select("row"), "gone")
-    return rows.select("row", "r").join(gone, "row", "left_anti").select("r.*")
+    return rows.select("row", "r").join(if_small(gone), "row", "left_anti").select("r.*")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import mod_crc
+from ._spark import mod_crc, sliced
 
 #: Most labelled rows that a model is fitted on: the least by a hash of their id.
 SAMPLE = 8192
@@ -111,7 +111,7 @@ def _measured(df: DataFrame, *names: str) -> DataFrame:
     kinds = dict(df.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [statistics(t).tolist() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(rows, pa.list_(pa.float64()))], names=[*names, "x"])
 
@@ -135,7 +135,7 @@ def score(df: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str =
     empty table gives an empty result.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(1).to_pylist()
             scores = forest.score(np.array([statistics(t) for t in texts]).reshape(len(texts), NUMBERS))
             kept = [batch.column(i) for i in range(2, batch.num_columns)]
