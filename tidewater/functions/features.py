@@ -69,10 +69,14 @@ def bigram_pairs(text: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.char_length(marked) - 1), lambda i: F.substring(marked, i, F.lit(2)))
 
 
+def first_label(name: Column) -> Column:
+    """The first label's letters and digits, in their own case; empty if there is none."""
+    return F.regexp_replace(F.coalesce(F.get(labels(name), F.lit(0)), F.lit("")), r"[^\p{L}\p{N}]", "")
+
+
 def lexical(name: Column) -> dict[str, Column]:
-    """length, entropy, vowel_ratio, digit_ratio, consonant_run (of the first label) and n_labels."""
-    first = F.coalesce(F.get(labels(name), F.lit(0)), name)
-    body = F.regexp_replace(F.lower(first), r"[^\p{L}\p{N}]", "")
+    """length, entropy, vowel_ratio, digit_ratio, consonant_run (of the first label, in its own case) and n_labels."""
+    first, body = F.coalesce(F.get(labels(name), F.lit(0)), F.lit("")), first_label(name)
     n = F.greatest(F.char_length(body), F.lit(1)).cast("double")
     count = lambda pattern: F.char_length(F.regexp_replace(body, pattern, "")) / n
     return {
@@ -130,14 +134,14 @@ def entropy_of_counts(df: DataFrame, keys: list[str], item: str) -> DataFrame:
 
 
 def autocorrelation_peak(xs: Column, max_lag: int | None = None) -> Column:
-    """The highest autocorrelation of an array at lags 1 .. n/2, at least 0; 0 for under four values."""
+    """The highest autocorrelation of an array at lags 1 .. n/2, at least 0; 0 for under four values, 1 if all are equal."""
     n = F.size(xs)
     mean = F.aggregate(xs, F.lit(0.0), lambda s, x: s + x) / n
     energy = F.aggregate(xs, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean))
     top = F.least(F.lit(max_lag) if max_lag else F.floor(n / 2).cast("int"), n - 1)
     at = lambda k: F.aggregate(F.sequence(F.lit(0), n - 1 - k), F.lit(0.0), lambda s, i: s + (F.get(xs, i) - mean) * (F.get(xs, i + k) - mean))
-    peak = F.array_max(F.transform(F.sequence(F.lit(1), top), at)) / F.when(energy == 0, 1.0).otherwise(energy)
-    return F.when(n < 4, 0.0).otherwise(F.greatest(peak, F.lit(0.0)))
+    peak = F.greatest(F.array_max(F.transform(F.sequence(F.lit(1), top), at)) / F.when(energy != 0, energy), F.lit(0.0))
+    return F.when(n < 4, 0.0).when(energy == 0, 1.0).otherwise(peak)
 
 
 def shape(sizes: Column) -> dict[str, Column]:
@@ -167,9 +171,9 @@ def anomaly_vector() -> list[Column]:
 # -- identities -------------------------------------------------------------------------------------------------------
 
 
-def flow_id() -> Column:
+def flow_id(src: str = "src_ip", dst: str = "dst_ip") -> Column:
     """f- and ten hex digits of the SHA-256 of time, ends and protocol."""
-    text = F.format_string("%.3f|%s:%d|%s:%d|%s", "ts", "src_ip", "src_port", "dst_ip", "dst_port", "proto")
+    text = F.format_string("%.3f|%s:%d|%s:%d|%s", "ts", src, "src_port", dst, "dst_port", "proto")
     return F.concat(F.lit("f-"), F.substring(F.sha2(text, 256), 1, 10))
 
 

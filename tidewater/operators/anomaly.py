@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import features as X
+from ..schema import CAVEATS
 
 c = F.col
 EULER = 0.5772156649015329
@@ -283,7 +284,8 @@ def anomalies(hits: DataFrame, cfg: Anomaly = Anomaly(), width: float = 60.0) ->
     src = src.where((c("n") >= cfg.min_hits) & (c("ts_event") >= c("window_end") - cfg.fresh))
     part = F.least(F.greatest((c("top") - 0.6) / 0.05, F.lit(0.0)), F.lit(1.0)) * 0.45 + F.least(c("n") / 20.0, F.lit(1.0)) * 0.45
     src = src.withColumns({"score": F.least(part, F.lit(0.9)), "threat_class": F.lit("anomalous_traffic"), "observed_flows": c("n"), "evidence": F.to_json(F.struct("n", "top"))})
-    return src.where(c("score") >= cfg.threshold).select("window_end", "threat_class", "src_ip", "dst_ip", "score", "ts_event", "observed_flows", "evidence")
+    src = src.withColumns({"reverse_direction_visible": F.lit(True), "caveat": F.lit(CAVEATS["novel"])})
+    return src.where(c("score") >= cfg.threshold).select("window_end", "threat_class", "src_ip", "dst_ip", "score", "ts_event", "observed_flows", "evidence", "reverse_direction_visible", "caveat")
 
 
 def scored(flows: DataFrame, forest: Forest, low: list[float], high: list[float], cfg: Anomaly = Anomaly()) -> DataFrame:

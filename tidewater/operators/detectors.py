@@ -1,7 +1,10 @@
 """The nine detectors: each takes flows with window_end and returns detections.
 
-A detection has window_end, threat_class, src_ip, dst_ip, score, ts_event, observed_flows and evidence (JSON). Cheap
-aggregates come first and gate the dear ones. Thresholds are in frozen configurations; their defaults are the product's.
+A detection has window_end, threat_class, src_ip, dst_ip, score, ts_event, observed_flows, evidence (JSON),
+reverse_direction_visible and caveat. Cheap aggregates come first and gate the dear ones.
+
+Fixed values: thresholds, weights and lists of ports stand in frozen configurations and in the scores; their defaults are the
+product's.
 """
 
 from __future__ import annotations
@@ -13,18 +16,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import features as X
+from ..schema import CAVEATS
 from .logistic import Logistic
 
 c = F.col
-DETECTION = ["window_end", "threat_class", "src_ip", "dst_ip", "score", "ts_event", "observed_flows", "evidence"]
+DETECTION = ["window_end", "threat_class", "src_ip", "dst_ip", "score", "ts_event", "observed_flows", "evidence", "reverse_direction_visible", "caveat"]
 
 
 def _share(condition: Column) -> Column:
     return F.avg(condition.cast("double"))
 
 
-def _detection(df: DataFrame, threat: str, evidence: list[str]) -> DataFrame:
-    out = df.withColumns({"threat_class": F.lit(threat), "evidence": F.to_json(F.struct(*evidence)), "observed_flows": c("observed_flows").cast("bigint")})
+def _detection(df: DataFrame, threat: str, evidence: list[str], caveat: Column | str | None = None, reverse: Column | None = None, model: Logistic | None = None) -> DataFrame:
+    """Rows as detections. With a model, the evidence has the largest parts of its verdict as well."""
+    said = F.struct(*evidence, *([model.explain().alias("attribution")] if model else []))
+    told = {"reverse_direction_visible": F.lit(True) if reverse is None else reverse, "caveat": caveat if isinstance(caveat, Column) else F.lit(caveat).cast("string")}
+    out = df.withColumns({"threat_class": F.lit(threat), "evidence": F.to_json(said), "observed_flows": c("observed_flows").cast("bigint"), **told})
     return out.select(*DETECTION)
 
 
@@ -52,7 +59,7 @@ def recon_fanout(flows: DataFrame, cfg: Recon = Recon()) -> DataFrame:
 
 def recon(flows: DataFrame, cfg: Recon = Recon()) -> DataFrame:
     fired = recon_fanout(flows, cfg).where(c("score") >= cfg.threshold)
-    return _detection(fired.withColumn("dst_ip", F.concat(c("hosts").cast("string"), F.lit(" hosts"))), "recon_scanning", ["ports", "hosts", "targets", "unanswered", "reverse_visible"])
+    return _detection(fired.withColumn("dst_ip", F.concat(c("hosts").cast("string"), F.lit(" hosts"))), "recon_scanning", ["ports", "hosts", "targets", "unanswered", "reverse_visible"], F.when(~c("reverse_visible"), CAVEATS["one_way_scan"]), c("reverse_visible"))
 
 
 # -- floods -----------------------------------------------------------------------------------------------------------
@@ -220,7 +227,7 @@ def _as_of(wanted: DataFrame, known: DataFrame, key: str, value: str) -> DataFra
 def beacon(flows: DataFrame, cfg: Beacon = Beacon()) -> DataFrame:
     limit = cfg.model.threshold if cfg.model else cfg.threshold
     fired = beacon_pairs(flows, cfg).where(c("score") >= limit).withColumn("observed_flows", c("n_events"))
-    return _detection(fired, "c2_beaconing", ["m", "interval_cv", "jitter_band", "mad_ratio", "byte_cv", "dst_prevalence", "dst_external"])
+    return _detection(fired, "c2_beaconing", ["m", "interval_cv", "jitter_band", "mad_ratio", "byte_cv", "dst_prevalence", "dst_external"], model=cfg.model)
 
 
 # -- names ------------------------------------------------------------------------------------------------------------
@@ -242,7 +249,8 @@ def name_scores(flows: DataFrame, cfg: Dga = Dga(), bigrams: DataFrame | None =
     of = {k: c(f"_{k}") for k in lexical}
     if cfg.model:
         if bigrams is not None:
-            named = named.join(X.bigram_likelihood(names, bigrams, "dns_qname"), "dns_qname")
+            bodies = names.withColumn("body", X.first_label(c("dns_qname")))
+            named = named.join(X.bigram_likelihood(bodies, bigrams, "dns_qname", "body"), "dns_qname")
             of["bigram_ll"] = c("bigram_ll")
         score = cfg.model.probability(of | ({} if bigrams is not None else {"bigram_ll": F.lit(0.0)}))
     else:
@@ -262,7 +270,14 @@ def dga_hosts(flows: DataFrame, cfg: Dga = Dga(), bigrams: DataFrame | None = No
 
 
 def dga(flows: DataFrame, cfg: Dga = Dga(), bigrams: DataFrame | None = None) -> DataFrame:
-    return _detection(dga_hosts(flows, cfg, bigrams).where(c("score") >= cfg.threshold), "dga_resolution", ["nx", "suspicious", "mean_score", "examples"])
+    fired, said = dga_hosts(flows, cfg, bigrams).where(c("score") >= cfg.threshold), ["nx", "suspicious", "mean_score", "examples"]
+    if cfg.model:  # why the worst name scored as it did
+        fired, ll = fired.withColumn("worst", c("examples")[0]), F.lit(0.0)
+        if bigrams is not None:
+            bodies = fired.select("worst").distinct().withColumn("body", X.first_label(c("worst")))
+            fired, ll = fired.join(X.bigram_likelihood(bodies, bigrams, "worst", "body"), "worst"), c("bigram_ll")
+        fired, said = fired.withColumn("attribution", cfg.model.explain(X.lexical(c("worst")) | {"bigram_ll": ll})), [*said, "attribution"]
+    return _detection(fired, "dga_resolution", said)
 
 
 @dataclass(frozen=True)
@@ -323,7 +338,7 @@ def tls_pairs(flows: DataFrame, cfg: Tls = Tls()) -> DataFrame:
 
 
 def tls(flows: DataFrame, cfg: Tls = Tls()) -> DataFrame:
-    return _detection(tls_pairs(flows, cfg).where(c("score") >= cfg.threshold), "encrypted_malware", ["ja4", "ja4_hosts", "dst_hosts", "cert_seen", "self_signed", "min_days", "no_sni", "out_share", "size_mean"])
+    return _detection(tls_pairs(flows, cfg).where(c("score") >= cfg.threshold), "encrypted_malware", ["ja4", "ja4_hosts", "dst_hosts", "cert_seen", "self_signed", "min_days", "no_sni", "out_share", "size_mean"], F.when(c("cert_seen"), CAVEATS["metadata"]).otherwise(CAVEATS["client_side"]))
 
 
 # -- exfiltration -----------------------------------------------------------------------------------------------------
@@ -375,7 +390,7 @@ def exfil_windows(flows: DataFrame, cfg: Exfil = Exfil()) -> DataFrame:
 
 def exfil(flows: DataFrame, cfg: Exfil = Exfil()) -> DataFrame:
     limit = cfg.model.threshold if cfg.model else cfg.threshold
-    return _detection(exfil_windows(flows, cfg).where(c("score") >= limit), "data_exfiltration", ["bytes_up", "bytes_down", "ratio", "base", "dst_concentration", "dst_novelty", "dst_external"])
+    return _detection(exfil_windows(flows, cfg).where(c("score") >= limit), "data_exfiltration", ["bytes_up", "bytes_down", "ratio", "base", "dst_concentration", "dst_novelty", "dst_external"], CAVEATS["lead"], model=cfg.model)
 
 
 # -- industrial protocols ---------------------------------------------------------------------------------------------
@@ -417,4 +432,4 @@ def ics_sources(flows: DataFrame, cfg: Ics = Ics()) -> DataFrame:
 
 
 def ics(flows: DataFrame, cfg: Ics = Ics()) -> DataFrame:
-    return _detection(ics_sources(flows, cfg).where(c("score") >= cfg.threshold), "ics_intrusion", ["funcs", "controllers", "writes", "unauthorised", "illegal"])
+    return _detection(ics_sources(flows, cfg).where(c("score") >= cfg.threshold), "ics_intrusion", ["funcs", "controllers", "writes", "unauthorised", "illegal"], CAVEATS["commands"])

@@ -8,8 +8,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.features import alert_id
+from ..functions.features import alert_id, flow_id, registrable
 from ..schema import SEVERITIES, threats
 
 c = F.col
@@ -73,11 +74,44 @@ def alerts(detections: DataFrame, calibration: dict[str, tuple[list[float], list
     met = kept.join(F.broadcast(threats(detections.sparkSession)), "threat_class")  # nine rows
     return met.select(
         alert_id(c("threat_class"), c("src_ip"), c("dst_ip"), c("window_end")).alias("alert_id"), "threat_class", severity(c("base_severity"), c("confidence")).alias("severity"), "confidence", "raw_score", "src_ip", "dst_ip",
-        "ts_event", c("window_end").alias("ts_emitted"), F.round((c("window_end") - c("ts_event")) * 1000, 1).alias("latency_ms"), "observed_flows", "technique", "technique_name", "tactic", "evidence",
+        "ts_event", c("window_end").alias("ts_emitted"), F.round((c("window_end") - c("ts_event")) * 1000, 1).alias("latency_ms"), "observed_flows", "technique", "technique_name", "tactic", "evidence", "detector", "model_version", "reverse_direction_visible", "caveat",
         *[x for x in ("ord",) if x in detections.columns],
     )
 
 
+def with_flow_ids(alerts_: DataFrame, flows: DataFrame, horizon: float = 3600.0, most: int = 8) -> DataFrame:
+    """Alerts with flow_ids: the first ``most`` flows of the alert's window that its detector looked at, for a beacon the last
+    ones of its pair in the horizon. An anomaly's are its source's. Flows meet alerts, which are few, by window and end."""
+    cols = [x for x in ("src_port", "dst_port", "proto", "syn", "dns_qname", "tls_ja4", "ics_proto") if x in flows.columns]
+    has = lambda x: F.coalesce(c(x), F.lit("")) != "" if x in cols else F.lit(False)
+    kind, tcp, asked, control = c("threat_class"), c("proto") == "tcp", c("syn") > 0, has("ics_proto")
+    seen = flows.select("ts", "seq", "window_end", c("src_ip").alias("_src"), c("dst_ip").alias("_dst"), *cols)
+    mine = alerts_.select("alert_id", "threat_class", "src_ip", "dst_ip", "ts_emitted")
+    pair = c("_dst") == c("dst_ip")
+    looked = (
+        F.when(kind == "dga_resolution", has("dns_qname"))
+        .when(kind == "dns_tunnelling", has("dns_qname") & (registrable(c("dns_qname")) == c("dst_ip") if "dns_qname" in cols else F.lit(False)))
+        .when(kind == "encrypted_malware", has("tls_ja4") & pair)
+        .when(kind == "recon_scanning", tcp & asked & ~control)
+        .when(kind == "data_exfiltration", tcp & ~control)
+        .when(kind == "ics_intrusion", control)
+        .otherwise(kind == "anomalous_traffic")
+    )
+    here = c("window_end") == c("ts_emitted")
+    flood = kind == "volumetric_ddos"
+    at = c("ts_emitted")
+    met = [
+        mine.where(~flood & (kind != "c2_beaconing")).join(seen, here & (c("_src") == c("src_ip")) & looked).withColumn("_t", c("ts")),
+        mine.where(flood).join(seen, here & pair & (asked | (c("proto") == "udp"))).withColumn("_t", c("ts")),
+        mine.where(kind == "c2_beaconing").join(seen, (c("_src") == c("src_ip")) & pair & tcp & asked & ~control & (c("ts") >= at - horizon) & (c("window_end") <= at + 1e-6)).withColumn("_t", -c("ts")),
+    ]
+    rows = met[0].unionByName(met[1]).unionByName(met[2])
+    order = Window.partitionBy("alert_id").orderBy("_t", F.when(c("_t") < 0, -c("seq")).otherwise(c("seq")))
+    first = rows.withColumn("_r", F.row_number().over(order)).where(c("_r") <= most)
+    ids = first.groupBy("alert_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "seq", flow_id("_src", "_dst").alias("id")))), lambda x: x["id"]).alias("flow_ids"))
+    return alerts_.join(ids, "alert_id", "left").withColumn("flow_ids", F.coalesce("flow_ids", F.array().cast("array<string>")))
+
+
 def rank_of(level: Column) -> Column:
     return F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), level)
 

@@ -64,7 +64,8 @@ def run(flows: DataFrame, cfg: Config = Config(), suppress: DataFrame | None = N
     kept = windowed(flows, cfg).persist()
     detections = detect(kept, cfg).persist()  # few rows, read twice by emit-once
     alerts = N.alerts(detections, cfg.calibration, suppress, cfg.dedupe)
-    return {"flows": kept, "detections": detections, "alerts": alerts, "incidents": N.incidents(alerts)}
+    told = N.with_flow_ids(alerts, kept, cfg.beacon.horizon)
+    return {"flows": kept, "detections": detections, "alerts": told, "incidents": N.incidents(alerts)}
 
 
 def record(alerts: DataFrame) -> DataFrame:

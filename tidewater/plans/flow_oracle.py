@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.features import MARKED_PORTS, SERVICE_DOMAINS
-from ..schema import THREATS
+from ..schema import CAVEATS, DETECTORS, THREATS
 
 FE = """fe AS (
 SELECT event_id AS seq, epoch_us(ts) AS us, epoch_us(ts)/1e6::DOUBLE AS ts,
@@ -67,15 +67,16 @@ SELECT window_end, src_ip, CAST(sum(n) AS BIGINT) AS observed_flows, count(*) AS
 SELECT ig.*, funcs, least((CASE WHEN len(funcs)>=3 THEN least(len(funcs)/7::DOUBLE,1)*0.62::DOUBLE ELSE 0 END) + CASE WHEN unauthorised>0 THEN 0.55::DOUBLE ELSE 0 END + CASE WHEN illegal>0 THEN 0.40::DOUBLE ELSE 0 END + CASE WHEN controllers>=3 AND writes>0 THEN 0.15::DOUBLE ELSE 0 END, 1) AS score
 FROM ig JOIN ifn ON ig.window_end=ifn.window_end AND ig.src_ip=ifn.src_ip)"""
 DETECTIONS = f"""{RECON}, {TLS.replace(DAILY + ', ', '')}, {ICS}, det AS (
-SELECT window_end, 'recon_scanning' AS threat_class, src_ip, concat(CAST(hosts AS VARCHAR),' hosts') AS dst_ip, score, ts_event FROM rc WHERE score>=0.2
-UNION ALL SELECT window_end, 'encrypted_malware', src_ip, dst_ip, score, ts_event FROM tz WHERE score>=0.55
-UNION ALL SELECT window_end, 'ics_intrusion', src_ip, dst_ip, score, ts_event FROM iz WHERE score>=0.55), dn AS (
+SELECT window_end, 'recon_scanning' AS threat_class, src_ip, concat(CAST(hosts AS VARCHAR),' hosts') AS dst_ip, score, ts_event, reverse_visible, CASE WHEN NOT reverse_visible THEN '{CAVEATS['one_way_scan']}' END AS caveat FROM rc WHERE score>=0.2
+UNION ALL SELECT window_end, 'encrypted_malware', src_ip, dst_ip, score, ts_event, true, CASE WHEN cert_seen THEN '{CAVEATS['metadata']}' ELSE '{CAVEATS['client_side']}' END FROM tz WHERE score>=0.55
+UNION ALL SELECT window_end, 'ics_intrusion', src_ip, dst_ip, score, ts_event, true, '{CAVEATS['commands']}' FROM iz WHERE score>=0.55), dn AS (
 SELECT *, row_number() OVER (PARTITION BY threat_class, src_ip, dst_ip ORDER BY window_end) AS rn FROM det), dd AS (
 SELECT *, window_end AS last, true AS emit FROM dn WHERE rn=1
 UNION ALL SELECT dn.*, CASE WHEN dn.window_end-dd.last>=172800 THEN dn.window_end ELSE dd.last END, dn.window_end-dd.last>=172800 FROM dd JOIN dn ON dn.threat_class=dd.threat_class AND dn.src_ip=dd.src_ip AND dn.dst_ip=dd.dst_ip AND dn.rn=dd.rn+1)"""
-_THREATS = ", ".join(f"('{a}','{b}','{t}','{k}')" for a, b, t, _, k in THREATS)
-ALERTS = f"""{DETECTIONS}, th0(threat_class, base, technique, tactic) AS (VALUES {_THREATS}), al0 AS (
-SELECT dd.*, base, technique, tactic, round(greatest(least(score,1),0),3) AS raw FROM dd JOIN th0 ON dd.threat_class=th0.threat_class WHERE emit), al1 AS (
+_OF = {k: rest for k, *rest in DETECTORS}
+_THREATS = ", ".join(f"('{a}','{b}','{t}','{k}','{_OF[a][0]}','{_OF[a][1]}')" for a, b, t, _, k in THREATS)
+ALERTS = f"""{DETECTIONS}, th0(threat_class, base, technique, tactic, detector, model_version) AS (VALUES {_THREATS}), al0 AS (
+SELECT dd.*, base, technique, tactic, detector, model_version, round(greatest(least(score,1),0),3) AS raw FROM dd JOIN th0 ON dd.threat_class=th0.threat_class WHERE emit), al1 AS (
 SELECT *, CASE threat_class WHEN 'encrypted_malware' THEN CASE WHEN raw>=0.75 THEN 0.92 WHEN raw>=0.65 THEN 0.7 ELSE 0.6 END WHEN 'ics_intrusion' THEN CASE WHEN raw>=0.8 THEN 0.95 ELSE 0.55 END ELSE raw END::DOUBLE AS confidence FROM al0), al AS (
 SELECT *, CASE WHEN confidence<0.6::DOUBLE AND base IN ('critical','high') THEN 'medium' WHEN confidence>0.9::DOUBLE AND base='medium' THEN 'high' ELSE base END AS severity FROM al1)"""
 INCIDENTS = f"""{ALERTS}, an AS (
@@ -85,11 +86,11 @@ UNION ALL SELECT an.src_ip, an.r, CASE WHEN an.ts_event-inc.seen>518400 THEN an.
 SELECT an.src_ip AS entity, inc.part, min(ts_event) AS first_seen, max(seen) AS last_seen, count(*) AS n_alerts, count(DISTINCT threat_class) AS n_classes, max(CASE severity WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 ELSE 4 END) AS sv, max(confidence) AS best
 FROM an JOIN inc ON an.src_ip=inc.src_ip AND an.r=inc.r GROUP BY ALL), ii AS (
 SELECT *, round(least(best + 0.05::DOUBLE*(n_classes-1),1),3) AS score FROM fin QUALIFY part = max(part) OVER (PARTITION BY entity))"""
-LEDGER = f"""{FE}, lb AS (SELECT row_number() OVER (ORDER BY seq) AS seq, concat_ws('/',src_ip,dst_ip,CAST(bytes_out AS VARCHAR)) AS body FROM fe WHERE seq<400), lg AS (
+LEDGER = f"""{FE}, lb AS (SELECT row_number() OVER (ORDER BY seq) AS seq, concat_ws('/',src_ip,dst_ip,CAST(bytes_out AS VARCHAR)) AS body FROM fe), lg AS (
 SELECT seq, body, repeat('0',64) AS prev_sha256, sha256(concat(repeat('0',64),'|',CAST(seq AS VARCHAR),'|',body)) AS sha256 FROM lb WHERE seq=1
 UNION ALL SELECT lb.seq, lb.body, lg.sha256, sha256(concat(lg.sha256,'|',CAST(lb.seq AS VARCHAR),'|',lb.body)) FROM lg JOIN lb ON lb.seq=lg.seq+1)"""
 GAPS = f"{FE}, g AS (SELECT * FROM (SELECT src_ip, ts, seq, ts - lag(ts) OVER (PARTITION BY src_ip ORDER BY ts, seq) AS gap FROM fe) z WHERE gap IS NOT NULL)"
-LEX = f"{FQ}, lx AS (SELECT seq, dns_qname, string_split(dns_qname,'.')[1] AS first, regexp_replace(lower(string_split(dns_qname,'.')[1]),'[^\\p{{L}}\\p{{N}}]','','g') AS body, len(list_filter(string_split(dns_qname,'.'), lambda x: x<>'')) AS n_labels FROM fq), le AS (SELECT seq, entropy(ch) AS entropy FROM (SELECT seq, unnest(string_split(body,'')) AS ch FROM lx) z GROUP BY seq)"
+LEX = f"{FQ}, lx AS (SELECT seq, dns_qname, string_split(dns_qname,'.')[1] AS first, regexp_replace(string_split(dns_qname,'.')[1],'[^\\p{{L}}\\p{{N}}]','','g') AS body, len(list_filter(string_split(dns_qname,'.'), lambda x: x<>'')) AS n_labels FROM fq), le AS (SELECT seq, entropy(ch) AS entropy FROM (SELECT seq, unnest(string_split(body,'')) AS ch FROM lx) z GROUP BY seq)"
 PAIRS = f"{FQ}, nm AS (SELECT seq, concat('^',regexp_replace(lower(dns_qname),'[^\\p{{L}}\\p{{N}}]','','g'),'$') AS m, concat('^',lower(dns_qname),'$') AS raw FROM fq), pr AS (SELECT substr(m,i,2) AS pair, count(*) AS n FROM (SELECT m, unnest(range(1,len(m))) AS i FROM nm) z GROUP BY ALL), tb AS (SELECT pair, ln((n+1)/((SELECT sum(n) FROM pr)+1444)::DOUBLE) AS logp FROM pr UNION ALL SELECT '__default__', ln(1/((SELECT sum(n) FROM pr)+1444)::DOUBLE))"
 _VECTOR = ["log10(bytes_out+1.0::DOUBLE)", "log10(bytes_in+1.0::DOUBLE)", "log10(bytes_out/greatest(bytes_in,1)::DOUBLE+0.01::DOUBLE)", "log10(duration+0.01::DOUBLE)", "log10(pkts_out+1.0::DOUBLE)", "log10(pkts_in+1.0::DOUBLE)", "syn", "synack", "rst", "fin", "CASE WHEN proto='udp' THEN 1 ELSE 0 END", "0", *[f"CASE WHEN dst_port={p} THEN 1 ELSE 0 END" for p in MARKED_PORTS]]
 FLOOD = f"""{DAILY}, fd AS (
@@ -124,9 +125,9 @@ ORACLE = {
     "windows_realigned": f"WITH RECURSIVE {FE}, p AS (SELECT ts, lag(ts) OVER (ORDER BY ts, seq) AS prev FROM fe), gg AS (SELECT ts, prev, row_number() OVER (ORDER BY ts) AS rn FROM p WHERE prev IS NULL OR ts-prev>300), rr AS (SELECT rn, ts, ts AS origin FROM gg WHERE rn=1 UNION ALL SELECT gg.rn, gg.ts, CASE WHEN gg.ts-(origin+(floor((gg.prev-origin)/30::DOUBLE)+1)*30::DOUBLE)>300 THEN gg.ts ELSE origin END FROM rr JOIN gg ON gg.rn=rr.rn+1), j AS (SELECT fe.*, rr.origin FROM fe ASOF JOIN rr ON fe.ts>=rr.ts) SELECT round(origin+(floor((ts-origin)/30::DOUBLE)+1)*30::DOUBLE,6) AS window_end, count(*) AS n, min(seq) AS first_seq FROM j GROUP BY 1",
     "src_entropy": f"WITH {DAILY} SELECT round(window_end,6) AS window_end, round(entropy(src_ip),6) AS entropy, round(CASE WHEN count(DISTINCT src_ip)<=1 THEN 0 ELSE entropy(src_ip)/log2(count(DISTINCT src_ip)) END,6) AS normalised, count(*) AS n, count(DISTINCT src_ip) AS \"distinct\" FROM w GROUP BY ALL",
     "interval_stats": f"WITH {GAPS}, a AS (SELECT src_ip, count(*) AS n, avg(gap) AS mean, coalesce(stddev_samp(gap),0) AS sd, median(gap) AS median, mad(gap) AS mad FROM g GROUP BY ALL), b AS (SELECT *, CASE WHEN mean>0 THEN sd/mean ELSE 0 END AS cv FROM a) SELECT src_ip, n, round(mean,4) AS mean, round(sd,4) AS sd, round(median,4) AS median, round(mad,4) AS mad, round(cv,4) AS cv, round(1/(1+cv),4) AS regularity, round(exp(-pow((cv-0.16::DOUBLE)/0.13::DOUBLE,2)),4) AS jitter_band FROM b",
-    "autocorr": f"WITH {GAPS}, x AS (SELECT src_ip, gap, row_number() OVER (PARTITION BY src_ip ORDER BY ts, seq) AS i, count(*) OVER (PARTITION BY src_ip) AS n, avg(gap) OVER (PARTITION BY src_ip) AS m FROM g), e AS (SELECT src_ip, max(n) AS n, sum((gap-m)*(gap-m)) AS en FROM x GROUP BY ALL), l AS (SELECT a.src_ip, b.i-a.i AS lag, sum((a.gap-a.m)*(b.gap-b.m)) AS s FROM x a JOIN x b ON a.src_ip=b.src_ip AND b.i>a.i AND b.i-a.i<=a.n//2 GROUP BY ALL) SELECT e.src_ip, round(CASE WHEN e.n<4 THEN 0 ELSE greatest(max(s)/CASE WHEN en=0 THEN 1 ELSE en END,0) END,5) AS peak FROM e LEFT JOIN l ON e.src_ip=l.src_ip GROUP BY e.src_ip, e.n, en",
+    "autocorr": f"WITH {GAPS}, x AS (SELECT src_ip, gap, row_number() OVER (PARTITION BY src_ip ORDER BY ts, seq) AS i, count(*) OVER (PARTITION BY src_ip) AS n, avg(gap) OVER (PARTITION BY src_ip) AS m FROM g), e AS (SELECT src_ip, max(n) AS n, sum((gap-m)*(gap-m)) AS en FROM x GROUP BY ALL), l AS (SELECT a.src_ip, b.i-a.i AS lag, sum((a.gap-a.m)*(b.gap-b.m)) AS s FROM x a JOIN x b ON a.src_ip=b.src_ip AND b.i>a.i AND b.i-a.i<=a.n//2 GROUP BY ALL) SELECT e.src_ip, round(CASE WHEN e.n<4 THEN 0 ELSE CASE WHEN en=0 THEN 1 ELSE greatest(max(s)/en,0) END END,5) AS peak FROM e LEFT JOIN l ON e.src_ip=l.src_ip GROUP BY e.src_ip, e.n, en",
     "domain_parts": f"WITH {FQ}, l AS (SELECT *, list_filter(string_split(dns_qname,'.'), lambda x: x<>'') AS p FROM fq) SELECT seq, dns_qname, CAST(len(p) AS INT) AS n_labels, CASE WHEN len(p)>=2 THEN concat(p[len(p)-1],'.',p[len(p)]) ELSE dns_qname END AS parent FROM l",
-    "lexical": f"WITH {LEX} SELECT lx.seq, len(first)::DOUBLE AS length, round(entropy,6) AS entropy, round(len(regexp_replace(body,'[^aeiou]','','g'))/greatest(len(body),1)::DOUBLE,6) AS vowel_ratio, round(len(regexp_replace(body,'[^0-9]','','g'))/greatest(len(body),1)::DOUBLE,6) AS digit_ratio, coalesce(list_max(list_transform(regexp_extract_all(body,'[b-df-hj-np-tv-z]+'), lambda x: len(x))),0)::DOUBLE AS consonant_run, n_labels::DOUBLE AS n_labels FROM lx JOIN le ON lx.seq=le.seq",
+    "lexical": f"WITH {LEX} SELECT lx.seq, len(first)::DOUBLE AS length, round(entropy,6) AS entropy, round(len(regexp_replace(body,'[^aeiou]','','g'))/greatest(len(body),1)::DOUBLE,6) AS vowel_ratio, round(len(regexp_replace(body,'[^0-9]','','g'))/greatest(len(body),1)::DOUBLE,6) AS digit_ratio, coalesce(list_max(list_transform(regexp_extract_all(body,'[b-df-hj-np-tv-zA-Z]+'), lambda x: len(x))),0)::DOUBLE AS consonant_run, n_labels::DOUBLE AS n_labels FROM lx JOIN le ON lx.seq=le.seq",
     "bigram_fit": f"WITH {PAIRS} SELECT pair, round(logp,6) AS logp FROM tb",
     "bigram_ll": f"WITH {PAIRS}, z AS (SELECT seq, substr(raw,i,2) AS pair FROM (SELECT seq, raw, unnest(range(1,len(raw))) AS i FROM nm) y) SELECT seq, round(avg(coalesce(logp,(SELECT logp FROM tb WHERE pair='__default__'))),6) AS bigram_ll FROM z LEFT JOIN tb ON z.pair=tb.pair GROUP BY seq",
     "shape_features": "WITH z AS (SELECT vec_id, unnest(list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE)*1000) AS INT))) AS v FROM embeddings) SELECT vec_id, round(avg(CASE WHEN v>0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END),6) AS out_share, round(avg(abs(v)),6) AS size_mean, round(stddev_samp(abs(v)),6) AS size_sd FROM z GROUP BY vec_id",
@@ -142,7 +143,7 @@ SELECT fr.dst_ip, fr.rn, fr.n, ft.after AS base, CASE WHEN fr.n>=12 THEN least(C
  + CASE WHEN fr.n/greatest(ft.after,1)>3 THEN least((fr.n/greatest(ft.after,1)-3)/10,1)*0.20::DOUBLE ELSE 0 END, 1) END AS score FROM ft JOIN fr ON fr.dst_ip=ft.dst_ip AND fr.rn=ft.rn+1) q)
 SELECT round(fr.window_end,6) AS window_end, round(ft.base,6) AS base, round(ft.score,6) AS score, fr.dst_ip, fr.n FROM ft JOIN fr ON ft.dst_ip=fr.dst_ip AND ft.rn=fr.rn""",
     "beacon_pairs": f"WITH {BEACON} SELECT src_ip, dst_ip, round(wat,3) AS window_end, n_events, dst_prevalence, round(cv,4) AS interval_cv, round(mr,4) AS mad_ratio, round(bcv,4) AS byte_cv, round(1/(1+greatest(cv,0)),4) AS regularity, round(exp(-pow((cv-0.16::DOUBLE)/0.13::DOUBLE,2)),4) AS jitter_band, CASE WHEN {PRIVATE.format('dst_ip')} THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS dst_external, round(least(CASE WHEN cv<0.45 THEN (1-cv/0.45::DOUBLE)*0.5::DOUBLE ELSE 0 END+CASE WHEN mr<0.35 THEN (1-mr/0.35::DOUBLE)*0.25::DOUBLE ELSE 0 END+CASE WHEN bcv<0.25 THEN (1-bcv/0.25::DOUBLE)*0.25::DOUBLE ELSE 0 END,1)*CASE WHEN dst_prevalence>=3 THEN 0.25::DOUBLE ELSE 1 END,4) AS score FROM bc",
-    "dga_hosts": f"""WITH {LEX}, ns AS (SELECT fq.*, (CASE WHEN entropy>3.2 THEN 0.4 ELSE 0 END + CASE WHEN len(regexp_replace(body,'[^aeiou]','','g'))/greatest(len(body),1)::DOUBLE<0.30::DOUBLE THEN 0.3 ELSE 0 END + CASE WHEN coalesce(list_max(list_transform(regexp_extract_all(body,'[b-df-hj-np-tv-z]+'), lambda x: len(x))),0)>=4 THEN 0.3 ELSE 0 END)::DOUBLE AS sc FROM fq JOIN lx ON fq.seq=lx.seq JOIN le ON fq.seq=le.seq WHERE fq.dns_qname<>''), h AS (
+    "dga_hosts": f"""WITH {LEX}, ns AS (SELECT fq.*, (CASE WHEN entropy>3.2 THEN 0.4 ELSE 0 END + CASE WHEN len(regexp_replace(body,'[^aeiou]','','g'))/greatest(len(body),1)::DOUBLE<0.30::DOUBLE THEN 0.3 ELSE 0 END + CASE WHEN coalesce(list_max(list_transform(regexp_extract_all(body,'[b-df-hj-np-tv-zA-Z]+'), lambda x: len(x))),0)>=4 THEN 0.3 ELSE 0 END)::DOUBLE AS sc FROM fq JOIN lx ON fq.seq=lx.seq JOIN le ON fq.seq=le.seq WHERE fq.dns_qname<>''), h AS (
 SELECT src_ip, min(dst_ip) AS dst_ip, count(*) AS observed_flows, avg(CASE WHEN sc>0.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS suspicious, avg(CASE WHEN dns_rcode='NXDOMAIN' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS nx, avg(sc) AS mean_score, array_to_string(list_slice(list(dns_qname ORDER BY sc DESC, seq),1,3),',') AS examples FROM ns GROUP BY src_ip HAVING count(*)>=8)
 SELECT src_ip, dst_ip, observed_flows, round(suspicious,6) AS suspicious, round(nx,6) AS nx, round(mean_score,6) AS mean_score, round(least(0.55::DOUBLE*suspicious+0.45::DOUBLE*least(nx*1.6::DOUBLE,1),1),6) AS score, examples FROM h""",
     "tunnel_parents": f"""WITH {FQ}, l AS (SELECT *, regexp_extract(dns_qname,'([^.]+\\.[^.]+)$',1) AS parent FROM fq WHERE dns_qname<>''), a AS (
@@ -153,7 +154,8 @@ SELECT src_ip, parent, observed_flows, unique_names, bytes_up, bytes_down, round
     "ics_writes": f"WITH {ICS} SELECT round(window_end,6) AS window_end, round(score,6) AS score, src_ip, dst_ip, observed_flows, array_to_string(funcs,',') AS funcs, controllers, writes, unauthorised, illegal FROM iz",
     "dedupe": f"WITH RECURSIVE {DETECTIONS} SELECT threat_class, src_ip, dst_ip, round(window_end,3) AS window_end, round(score,6) AS score FROM dd WHERE emit",
     "suppress": f"WITH RECURSIVE {DETECTIONS} SELECT threat_class, count(*) AS n, count(DISTINCT src_ip) AS sources FROM det WHERE src_ip NOT IN ('10.42.0.2','203.0.113.3','10.60.0.1') AND dst_ip NOT IN ('10.42.0.2','203.0.113.3','10.60.0.1') GROUP BY ALL",
-    "alerts": f"WITH RECURSIVE {ALERTS} SELECT threat_class, src_ip, dst_ip, severity, round(confidence,3) AS confidence, round(raw,3) AS raw_score, round(window_end,3) AS ts_emitted, technique, tactic FROM al",
+    "alerts": f"WITH RECURSIVE {ALERTS} SELECT threat_class, src_ip, dst_ip, severity, round(confidence,3) AS confidence, round(raw,3) AS raw_score, round(window_end,3) AS ts_emitted, technique, tactic, detector, model_version, reverse_visible AS reverse_direction_visible, caveat FROM al",
+    "alert_flow_ids": f"WITH RECURSIVE {ALERTS}, ids AS (SELECT *, 'f-'||substr(sha256(concat(CAST(ms//1000 AS VARCHAR),'.',lpad(CAST(ms%1000 AS VARCHAR),3,'0'),'|',src_ip,':',src_port,'|',dst_ip,':',dst_port,'|',proto)),1,10) AS flow_id FROM (SELECT *, (us+500)//1000 AS ms FROM w) z), lo AS (SELECT al.threat_class, al.src_ip, al.dst_ip, al.window_end, list(flow_id ORDER BY ids.ts, ids.seq)[1:8] AS fl FROM al JOIN ids ON al.window_end=ids.window_end AND al.src_ip=ids.src_ip AND CASE al.threat_class WHEN 'recon_scanning' THEN ids.proto='tcp' AND ids.syn>0 ELSE ids.tls_ja4 IS NOT NULL AND ids.dst_ip=al.dst_ip END WHERE al.threat_class IN ('recon_scanning','encrypted_malware') GROUP BY ALL) SELECT 'prh-'||substr(sha256(concat(threat_class,'|',src_ip,'|',dst_ip,'|',printf('%.1f',window_end))),1,12) AS alert_id, array_to_string(fl,',') AS flow_ids FROM lo",
     "incidents": f"WITH RECURSIVE {INCIDENTS} SELECT entity, round(first_seen,3) AS first_seen, round(last_seen,3) AS last_seen, CAST(n_alerts AS INT) AS n_alerts, CAST(n_classes AS INT) AS n_classes, CASE sv WHEN 1 THEN 'low' WHEN 2 THEN 'medium' WHEN 3 THEN 'high' ELSE 'critical' END AS severity, score FROM ii",
     "ranked_incidents": f"WITH RECURSIVE {INCIDENTS} SELECT entity, CAST(n_classes AS INT) AS n_classes, score FROM ii WHERE n_classes>1 ORDER BY score DESC, n_classes DESC, entity LIMIT 10",
     "ledger_chain": f"WITH RECURSIVE {LEDGER} SELECT * FROM lg",

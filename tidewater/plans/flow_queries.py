@@ -193,7 +193,14 @@ def suppress(s, d):
 
 
 def alerts(s, d):
-    return _alerts(s, d).select("threat_class", "src_ip", "dst_ip", "severity", F.round("confidence", 3).alias("confidence"), F.round("raw_score", 3).alias("raw_score"), F.round("ts_emitted", 3).alias("ts_emitted"), "technique", "tactic")
+    return _alerts(s, d).select("threat_class", "src_ip", "dst_ip", "severity", F.round("confidence", 3).alias("confidence"), F.round("raw_score", 3).alias("raw_score"), F.round("ts_emitted", 3).alias("ts_emitted"), "technique", "tactic", "detector", "model_version", "reverse_direction_visible", "caveat")
+
+
+def alert_flow_ids(s, d):
+    """The flows behind each alert of the two detectors over event flows."""
+    flows = daily(s, d)
+    found = N.alerts(N.union(D.recon(flows, RECON), D.tls(flows, TLS)), CALIBRATION, None, 2 * DAY)
+    return N.with_flow_ids(found, flows).select("alert_id", F.array_join("flow_ids", ",").alias("flow_ids"))
 
 
 def incidents(s, d):
@@ -231,5 +238,5 @@ def lr_explain(s, d):
 QUERIES = {f.__name__: f for f in (
     recon_fanout, recon_detections, flow_ids, alert_ids, oneway_projection, rfc1918_split, sni_allowlist, windows_anchored, windows_realigned, src_entropy, interval_stats, autocorr,
     domain_parts, lexical, bigram_fit, bigram_ll, shape_features, anomaly_vector, nearest_rank_pct, floor_pct_envelope, ddos_windows, ddos_ewma_freeze, beacon_pairs, dga_hosts, tunnel_parents,
-    tls_pairs, exfil_windows, ics_writes, dedupe, suppress, alerts, incidents, ranked_incidents, ledger_chain, ledger_verify, lr_score, lr_explain,
+    tls_pairs, exfil_windows, ics_writes, dedupe, suppress, alerts, alert_flow_ids, incidents, ranked_incidents, ledger_chain, ledger_verify, lr_score, lr_explain,
 )}

@@ -23,9 +23,33 @@ THREATS = (
     ("ics_intrusion", "critical", "T0855", "Unauthorized Command Message (ICS)", "Impair Process Control"),
     ("anomalous_traffic", "medium", "—", "Unmapped — zero-day / unknown-behaviour candidate", "Anomaly"),
 )
+#: Class, detector, version of its method.
+DETECTORS = (
+    ("volumetric_ddos", "ddos-entropy-cusum", "0.4.0"),
+    ("c2_beaconing", "beacon-logreg", "0.5.0"),
+    ("dga_resolution", "dga-lexical-logreg", "0.5.0"),
+    ("dns_tunnelling", "dns-tunnel-stats", "0.4.0"),
+    ("encrypted_malware", "tls-metadata", "0.4.0"),
+    ("recon_scanning", "recon-fanout", "0.3.0"),
+    ("data_exfiltration", "exfil-logreg", "0.4.0"),
+    ("ics_intrusion", "ics-guard", "0.3.0"),
+    ("anomalous_traffic", "anomaly-iforest", "0.2.0"),
+)
+
+#: What an analyst is told with an alert.
+CAVEATS = {
+    "one_way_scan": "degraded: one-way capture — scan inferred from fan-out alone; SYN-ACK/response not observable",
+    "metadata": "metadata only — no payload was decrypted",
+    "client_side": "degraded: server-side handshake not observed (TLS 1.3 or single-direction tap); scored on client-side evidence only",
+    "lead": "lead for analyst review — exfiltration has the weakest passive signal",
+    "commands": "OT command traffic — header only, no payload or setpoint read",
+    "novel": "zero-day candidate — behaviour far from the benign baseline",
+}
 SEVERITIES = ("low", "medium", "high", "critical")
 
 
 def threats(spark: SparkSession) -> DataFrame:
     """The dimension of classes: nine rows, broadcast wherever it is joined."""
-    return spark.createDataFrame(THREATS, "threat_class string, base_severity string, technique string, technique_name string, tactic string")
+    by = {k: rest for k, *rest in DETECTORS}
+    rows = [(*t, *by[t[0]]) for t in THREATS]
+    return spark.createDataFrame(rows, "threat_class string, base_severity string, technique string, technique_name string, tactic string, detector string, model_version string")
