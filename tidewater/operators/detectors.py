@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from ..functions import features as X
 from ..schema import CAVEATS
+from .folds import scan
 from .logistic import Logistic
 
 c = F.col
@@ -94,32 +95,32 @@ def flood_scores(flows: DataFrame, cfg: Flood = Flood()) -> DataFrame:
     """``flood_windows`` with base (the rate learned before the window) and score.
 
     The base is a moving mean over a destination's windows that stays frozen while a window scores as an attack; the
-    windows of a destination (one row each, whatever the number of flows) are folded in order.
+    windows of a destination (one row each, whatever the number of flows) are scanned in order.
     """
     per = flood_windows(flows, cfg)
-    names = per.columns
-    kept = per.groupBy("dst_ip").agg(F.array_sort(F.collect_list(F.struct("window_end", *[n for n in names if n not in ("window_end", "dst_ip")]))).alias("all"))
-    amplified = lambda x: (x["udp"] > 0) & (x["reflections"] >= F.greatest(0.3 * x["udp"], F.lit(20.0)))
 
-    def score(x: Column, base: Column) -> Column:
-        surge, zero = x["n"] / F.greatest(base, F.lit(1.0)), F.lit(0.0)
-        spread = F.when(x["entropy"] >= cfg.entropy_floor, F.least((x["entropy"] - cfg.entropy_floor) / 4.0, F.lit(1.0)) * 0.45).otherwise(zero)
-        unfinished = F.when(x["completion"].isNull(), F.least(F.greatest(surge - 5.0, zero) / 10.0, F.lit(1.0)) * 0.35).when(x["completion"] <= cfg.completion_ceiling, (1.0 - x["completion"] / max(cfg.completion_ceiling, 1e-9)) * 0.35).otherwise(zero)
-        risen = F.when(surge > 3.0, F.least((surge - 3.0) / 10.0, F.lit(1.0)) * 0.20).otherwise(zero)
-        total = spread + unfinished + risen + F.when(amplified(x), 0.25).otherwise(zero)
-        return F.when(x["n"] >= cfg.min_flows, F.least(total, F.lit(1.0)))
-
-    element = "array<struct<window_end:double,base:double,score:double>>"
-    start = F.struct(F.lit(0.0).alias("base"), F.array().cast(element).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        s = score(x, acc["base"])
-        learned = cfg.keep * acc["base"] + (1 - cfg.keep) * x["n"]
-        base = F.when(s >= cfg.threshold, acc["base"]).otherwise(learned)
-        return F.struct(base.alias("base"), F.array_append(acc["out"], F.struct(x["window_end"].alias("window_end"), acc["base"].alias("base"), s.alias("score"))).alias("out"))
-
-    folded = kept.select("dst_ip", F.explode(F.arrays_zip(c("all"), F.aggregate("all", start, step)["out"].alias("o"))).alias("z"))
-    return folded.select("dst_ip", "z.all.*", c("z.o.base").alias("base"), c("z.o.score").alias("score"))
+    def score(x: dict, base: float) -> float | None:
+        if x["n"] < cfg.min_flows:
+            return None
+        surge, total = x["n"] / max(base, 1.0), 0.0
+        if x["entropy"] >= cfg.entropy_floor:
+            total += min((x["entropy"] - cfg.entropy_floor) / 4.0, 1.0) * 0.45
+        if x["completion"] is None:
+            total += min(max(surge - 5.0, 0.0) / 10.0, 1.0) * 0.35
+        elif x["completion"] <= cfg.completion_ceiling:
+            total += (1.0 - x["completion"] / max(cfg.completion_ceiling, 1e-9)) * 0.35
+        if surge > 3.0:
+            total += min((surge - 3.0) / 10.0, 1.0) * 0.20
+        if x["udp"] > 0 and x["reflections"] >= max(0.3 * x["udp"], 20.0):
+            total += 0.25
+        return min(total, 1.0)
+
+    def step(base: float, x: dict) -> tuple[float, tuple]:
+        s = score(x, base)
+        held = s is not None and s >= cfg.threshold
+        return base if held else cfg.keep * base + (1 - cfg.keep) * x["n"], (base, s)
+
+    return scan(per, ["dst_ip"], ["window_end"], 0.0, step, "base double, score double", ["n", "entropy", "completion", "udp", "reflections"])
 
 
 def flood(flows: DataFrame, cfg: Flood = Flood()) -> DataFrame:
@@ -193,12 +194,12 @@ def beacon_pairs(flows: DataFrame, cfg: Beacon = Beacon()) -> DataFrame:
     steps = (c("e.at") - c("_end")) / cfg.width
     both = (F.abs(steps - F.round(steps)) < 1e-6) & (F.round(steps) <= serves(c("_prev"), c("_end")))
     rows = served.select("src_ip", "dst_ip", "ts", "seq", "bytes_out", "tls_sni", c("e.tick").alias("tick"), c("e.at").alias("at"), F.when(both, c("ts") - c("_prev")).alias("gap"))
-    whole = Window.partitionBy(*pair)
-    rows = rows.withColumns({"n_events": F.count("*").over(whole), "med": F.percentile("gap", 0.5).over(whole)}).where(c("n_events") >= cfg.min_events)
     stats = rows.groupBy(*pair).agg(
-        F.first("n_events").alias("n_events"), F.first("med").alias("med"), F.max("at").alias("at"), F.avg("gap").alias("m"), F.stddev_samp("gap").alias("sd"), F.avg("bytes_out").alias("bm"), F.stddev_samp("bytes_out").alias("bsd"),
-        F.percentile(F.abs(c("gap") - c("med")), 0.5).alias("mad"), F.max(F.struct("ts", "seq", "tls_sni")).alias("latest"),
-    )
+        F.count("*").alias("n_events"), F.array_sort(F.collect_list("gap")).alias("gaps"), F.max("at").alias("at"), F.avg("gap").alias("m"), F.stddev_samp("gap").alias("sd"), F.avg("bytes_out").alias("bm"), F.stddev_samp("bytes_out").alias("bsd"),
+        F.max(F.struct("ts", "seq", "tls_sni")).alias("latest"),
+    ).where(c("n_events") >= cfg.min_events)
+    middle = lambda xs: (F.get(xs, F.floor((F.size(xs) - 1) / 2).cast("int")) + F.get(xs, F.floor(F.size(xs) / 2).cast("int"))) / 2
+    stats = stats.withColumn("med", middle(c("gaps"))).withColumn("mad", middle(F.array_sort(F.transform("gaps", lambda g: F.abs(g - c("med")))))).drop("gaps")
     known = cumulative_distinct(heard, "dst_ip", "src_ip", "dst_prevalence").withColumn("window_end", tick(c("window_end")))
     popular = _as_of(stats.select("dst_ip", c("tick").alias("at")).distinct(), known, "dst_ip", "dst_prevalence").withColumnRenamed("at", "tick")
     hosts = inside_hosts(heard)
@@ -360,21 +361,19 @@ def exfil_windows(flows: DataFrame, cfg: Exfil = Exfil()) -> DataFrame:
     dst = sent.groupBy("window_end", "src_ip", "dst_ip").agg(F.sum("bytes_out").alias("up"), F.sum("bytes_in").alias("down"), F.count("*").alias("n"), F.min(F.struct("ts", "seq")).alias("first"))
     dst = dst.withColumn("novel", F.min("window_end").over(Window.partitionBy("src_ip", "dst_ip")) == c("window_end"))
     best = F.struct(c("up").alias("up"), (-c("first.ts")).alias("t"), (-c("first.seq")).alias("s"), c("dst_ip").alias("dst_ip"), c("novel").alias("novel"))
-    src = dst.groupBy("window_end", "src_ip").agg(F.sum("up").alias("up"), F.sum("down").alias("down"), F.sum("n").alias("observed_flows"), F.min("first.ts").alias("ts_event"), F.max(best).alias("top"))
-    src = src.withColumn("ratio", c("up") / F.greatest("down", F.lit(1)))
-    rows = src.groupBy("src_ip").agg(F.array_sort(F.collect_list(F.struct("window_end", "ratio"))).alias("all"))
-    start = F.struct(F.lit(None).cast("double").alias("base"), F.array().cast("array<struct<window_end:double,base:double>>").alias("out"))
+    src = dst.groupBy("window_end", "src_ip").agg(F.sum("up").alias("total_up"), F.sum("down").alias("down"), F.sum("n").alias("observed_flows"), F.min("first.ts").alias("ts_event"), F.max(best).alias("top"))
+    src = src.withColumn("ratio", c("total_up") / F.greatest("down", F.lit(1)))
 
-    def step(acc: Column, x: Column) -> Column:
-        after = F.when(acc["base"].isNull(), x["ratio"]).otherwise((1 - cfg.alpha) * acc["base"] + cfg.alpha * x["ratio"])
-        return F.struct(after.alias("base"), F.array_append(acc["out"], F.struct(x["window_end"].alias("window_end"), acc["base"].alias("base"))).alias("out"))
+    def step(base: float | None, x: dict) -> tuple[float, tuple]:
+        return x["ratio"] if base is None else (1 - cfg.alpha) * base + cfg.alpha * x["ratio"], (base,)
 
-    bases = rows.select("src_ip", F.explode(F.aggregate("all", start, step)["out"]).alias("o")).select("src_ip", "o.window_end", "o.base")
-    met = src.join(bases, ["src_ip", "window_end"]).where(c("base").isNotNull() & (c("up") >= cfg.min_bytes))
+    src = src.select("*", "top.*").drop("top", "t", "s").withColumnsRenamed({"dst_ip": "top_ip", "novel": "top_novel"})
+    flat = src.select("window_end", "src_ip", "observed_flows", "ts_event", "ratio", c("total_up").alias("up"), "down", c("up").alias("top_up"), "top_ip", "top_novel")
+    met = scan(flat, ["src_ip"], ["window_end"], None, step, "base double", ["ratio"]).where(c("base").isNotNull() & (c("up") >= cfg.min_bytes))
     met = met.select(
-        "window_end", "src_ip", c("top.dst_ip").alias("dst_ip"), c("up").alias("bytes_up"), c("down").alias("bytes_down"), "ratio", "base", "observed_flows", "ts_event",
+        "window_end", "src_ip", c("top_ip").alias("dst_ip"), c("up").alias("bytes_up"), c("down").alias("bytes_down"), "ratio", "base", "observed_flows", "ts_event",
         F.least("ratio", F.lit(50.0)).alias("out_in_ratio"), F.least(c("ratio") / F.greatest("base", F.lit(0.2)), F.lit(30.0)).alias("deviation"), F.log10(c("up") + 1.0).alias("log_bytes_out"),
-        (c("top.up") / F.greatest("up", F.lit(1))).alias("dst_concentration"), c("top.novel").cast("double").alias("dst_novelty"), (~X.is_private(c("top.dst_ip"))).cast("double").alias("dst_external"),
+        (c("top_up") / F.greatest("up", F.lit(1))).alias("dst_concentration"), c("top_novel").cast("double").alias("dst_novelty"), (~X.is_private(c("top_ip"))).cast("double").alias("dst_external"),
         (c("up") / F.greatest(c("up") + c("down"), F.lit(1))).alias("out_share"), c("observed_flows").cast("double").alias("n_flows"),
     )
     r, d = c("out_in_ratio"), c("deviation")

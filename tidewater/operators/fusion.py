@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions.features import alert_id, flow_id, registrable
 from ..schema import SEVERITIES, threats
+from .folds import scan
 
 c = F.col
 
@@ -34,22 +35,16 @@ def suppress(detections: DataFrame, hosts: DataFrame) -> DataFrame:
 def dedupe(detections: DataFrame, span: float = 300.0) -> DataFrame:
     """The detections emitted: of a class, source and destination none within ``span`` seconds of the last one emitted.
 
-    Only (window_end, ord) of a key are folded; the key's windows bound them.
+    A key's detections are scanned in order of window, and of ``ord`` inside one; the first of a window counts.
     """
-    key = ["threat_class", "src_ip", "dst_ip"]
-    lists = detections.groupBy(*key).agg(F.array_sort(F.array_distinct(F.collect_list(c("window_end")))).alias("ends"))
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<double>").alias("out"))
 
-    def step(acc: Column, e: Column) -> Column:
-        emit = acc["last"].isNull() | (e - acc["last"] >= span)
-        return F.struct(F.when(emit, e).otherwise(acc["last"]).alias("last"), F.when(emit, F.array_append(acc["out"], e)).otherwise(acc["out"]).alias("out"))
+    def step(last: float | None, x: dict) -> tuple[float, tuple]:
+        emit = last is None or x["window_end"] - last >= span
+        return x["window_end"] if emit else last, (emit,)
 
-    emitted = lists.select(*[c(k).alias(f"_{k}") for k in key], F.explode(F.aggregate("ends", start, step)["out"]).alias("_end"))
-    same = c("window_end") == c("_end")
-    for k in key:
-        same = same & c(k).eqNullSafe(c(f"_{k}"))
-    met = detections.join(emitted, same, "left_semi")
-    return met.dropDuplicates([*key, "window_end"])
+    order = ["window_end", *[x for x in ("ord",) if x in detections.columns], "score", "ts_event"]
+    order = [x for x in order if x in detections.columns]
+    return scan(detections, ["threat_class", "src_ip", "dst_ip"], order, None, step, "_emit boolean", ["window_end"]).where("_emit").drop("_emit")
 
 
 def calibrated(score: Column, threat: Column, table: dict[str, tuple[list[float], list[float]]]) -> Column:
@@ -118,22 +113,19 @@ def rank_of(level: Column) -> Column:
 
 def incidents(alerts_: DataFrame, gap: float = 1800.0) -> DataFrame:
     """The last incident of each source: alerts in emission order, a new incident after ``gap`` seconds of silence."""
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<struct<at:double,alert_id:string,first:double,threat_class:string,severity:string,confidence:double>>").alias("mine"))
-    item = F.struct(c("ts_emitted").alias("at"), c("alert_id").alias("alert_id"), c("ts_event").alias("first"), "threat_class", "severity", "confidence")
-    lists = alerts_.groupBy(c("src_ip").alias("entity")).agg(F.array_sort(F.collect_list(item)).alias("all"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fresh = acc["last"].isNull() | (x["first"] - acc["last"] > gap)
-        last = F.when(fresh, x["first"]).otherwise(F.greatest(acc["last"], x["first"]))
-        mine = F.when(fresh, F.array(x)).otherwise(F.array_append(acc["mine"], x))
-        return F.struct(last.alias("last"), mine.alias("mine"))
-
-    final = lists.select("entity", F.aggregate("all", start, step).alias("f")).select("entity", c("f.last").alias("last_seen"), c("f.mine").alias("mine"))
-    classes = F.array_distinct(F.transform("mine", lambda a: a["threat_class"]))
-    best = F.array_max(F.transform("mine", lambda a: a["confidence"]))
-    worst = F.array_max(F.transform("mine", lambda a: rank_of(a["severity"]))).cast("int")
-    score = F.least(best + 0.05 * (F.size(classes) - 1), F.lit(1.0))
-    return final.select("entity", F.array_min(F.transform("mine", lambda a: a["first"])).alias("first_seen"), "last_seen", F.size("mine").alias("n_alerts"), classes.alias("classes"), F.size(classes).alias("n_classes"), F.element_at(F.array(*[F.lit(s) for s in SEVERITIES]), worst).alias("severity"), F.round(score, 3).alias("score"))
+    rows = alerts_.select(c("src_ip").alias("entity"), "ts_emitted", "alert_id", c("ts_event").alias("first"), "threat_class", rank_of(c("severity")).alias("rank"), "confidence")
+
+    def step(state: tuple, x: dict) -> tuple[tuple, tuple]:
+        part, last = state
+        if last is None or x["first"] - last > gap:
+            part, last = part + 1, x["first"]
+        return (part, max(last, x["first"])), (part,)
+
+    parts = scan(rows, ["entity"], ["ts_emitted", "alert_id"], (0, None), step, "part bigint", ["first"])
+    each = parts.groupBy("entity", "part").agg(F.min("first").alias("first_seen"), F.max("first").alias("last_seen"), F.count("*").cast("int").alias("n_alerts"), F.array_sort(F.collect_set("threat_class")).alias("classes"), F.max("rank").cast("int").alias("worst"), F.max("confidence").alias("best"))
+    final = each.withColumn("_last", F.max("part").over(Window.partitionBy("entity"))).where(c("part") == c("_last"))
+    score = F.least(c("best") + 0.05 * (F.size("classes") - 1), F.lit(1.0))
+    return final.select("entity", "first_seen", "last_seen", "n_alerts", "classes", F.size("classes").alias("n_classes"), F.element_at(F.array(*[F.lit(s) for s in SEVERITIES]), c("worst")).alias("severity"), F.round(score, 3).alias("score"))
 
 
 def ranked(incidents_: DataFrame, classes: int = 1, limit: int | None = None) -> DataFrame:

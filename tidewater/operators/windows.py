@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .folds import scan
+
 
 def anchored(flows: DataFrame, width: float = 60.0) -> DataFrame:
     """Add window_end: windows of ``width`` seconds from the first flow's time on; a flow at an end opens the next."""
@@ -22,16 +26,15 @@ def realigned(flows: DataFrame, width: float = 60.0, idle: int = 10) -> DataFram
     """
     reach = idle * width
     bucket = F.floor(F.col("ts") / reach)
-    ends = flows.groupBy(bucket.alias("b")).agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
-    row = ends.agg(F.array_sort(F.collect_list(F.struct("b", "lo", "hi"))).alias("all"))
-    start = F.struct(F.lit(None).cast("double").alias("origin"), F.lit(None).cast("double").alias("last"), F.array().cast("array<struct<b:bigint,origin:double>>").alias("out"))
-
-    def step(acc, x):
-        open_end = acc["origin"] + (F.floor((acc["last"] - acc["origin"]) / width) + 1) * width
-        fresh = acc["origin"].isNull() | (x["lo"] - open_end > reach)
-        origin = F.when(fresh, x["lo"]).otherwise(acc["origin"])
-        return F.struct(origin.alias("origin"), x["hi"].alias("last"), F.array_append(acc["out"], F.struct(x["b"].alias("b"), origin.alias("origin"))).alias("out"))
-
-    origins = row.select(F.explode(F.aggregate("all", start, step)["out"]).alias("o")).select("o.b", "o.origin")
-    met = flows.withColumn("b", bucket).join(origins, "b").drop("b")
-    return met.withColumn("window_end", F.col("origin") + (F.floor((F.col("ts") - F.col("origin")) / width) + 1) * width).drop("origin")
+    ends = flows.groupBy(bucket.alias("_bucket")).agg(F.min("ts").alias("_lo"), F.max("ts").alias("_hi"))
+
+    def step(state: tuple | None, x: dict) -> tuple[tuple, tuple]:
+        origin = x["_lo"]
+        if state is not None:
+            open_end = state[0] + (math.floor((state[1] - state[0]) / width) + 1) * width
+            origin = x["_lo"] if x["_lo"] - open_end > reach else state[0]
+        return (origin, x["_hi"]), (origin,)
+
+    origins = scan(ends.where("_bucket IS NOT NULL"), [], ["_bucket"], None, step, "_origin double", ["_lo", "_hi"]).select("_bucket", "_origin")
+    met = flows.withColumn("_bucket", bucket).join(origins, "_bucket").drop("_bucket")
+    return met.withColumn("window_end", F.col("_origin") + (F.floor((F.col("ts") - F.col("_origin")) / width) + 1) * width).drop("_origin")
