@@ -221,3 +221,12 @@ def test_features(spark):
     assert got == [True, True, False, True, False, False, False, False]
     r = spark.createDataFrame([("xKqpmfvbzq.Example.com",)], "q string").select(X.consonant_run(F.col("q")).alias("run"), X.registrable(F.col("q")).alias("p"), X.string_entropy(F.lit("aabb")).alias("h"), X.is_service_name(F.lit("a.GOOGLE.com.")).alias("s")).first()
     assert (r.run, r.p, r.h, r.s) == (10, "Example.com", 1.0, True)
+
+
+def test_beacon_keeps_its_horizon_over_a_realignment(spark):
+    rows = [{"ts": 60.0 * i, "src_ip": "10.0.0.5", "dst_ip": "203.0.113.9", "bytes_out": 500} for i in range(8)]
+    rows += [{"ts": 1500.0, "src_ip": "10.0.0.5", "dst_ip": "203.0.113.9", "bytes_out": 500}]
+    kept = W.realigned(flows(spark, rows), 60.0)
+    got = {r.window_end: r.n_events for r in D.beacon_pairs(kept, D.Beacon(width=60.0, idle=10)).collect()}
+    assert got == {360.0: 6, 420.0: 7, 480.0: 8, 1560.0: 9}
+    assert {round(e) for e in D.window_ends(kept, 60.0, 10)} == {60, 120, 180, 240, 300, 360, 420, 480, 1560}

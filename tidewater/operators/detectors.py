@@ -9,8 +9,11 @@ product's.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -162,51 +165,103 @@ class Beacon:
     horizon: float = 3600.0
     min_events: int = 6
     min_hosts: int = 4
+    idle: int | None = None  # widths of silence after which the windows' clock was realigned
     model: Logistic | None = None
     threshold: float = 0.6
 
 
+def window_ends(flows: DataFrame, width: float, idle: int | None = None) -> list[float]:
+    """All window ends in order: those of flows, and those of windows without any in between, if the clock wasn't realigned.
+
+    One number a window of the time span, whatever the number of flows.
+    """
+    held = sorted(r[0] for r in flows.select("window_end").where("window_end IS NOT NULL").distinct().collect())
+    out = held[:1]
+    for before, after in zip(held, held[1:], strict=False):
+        steps = (after - before) / width
+        n = round(steps)
+        if abs(steps - n) < 1e-6 and (idle is None or n <= idle + 1):
+            out += [before + i * width for i in range(1, n)]
+        if abs(steps) > 1e-6:  # sums of the same widths may differ in the last bit
+            out.append(after)
+    return out
+
+
+_TIMED = "src_ip string, dst_ip string, window_end double, n_events bigint, m double, sd double, bm double, bsd double, med double, mad double, latest_ts double, sni string"
+
+
+def _timing(ends: list[float], cfg: Beacon):
+    """mapInArrow over flows sorted by pair and time: the pair's statistics at each window end of the horizon after them.
+
+    Only the open pair's flows of one horizon are held.
+    """
+    at = np.array(ends)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        pair, ts, sent, name = None, np.empty(0), np.empty(0), None
+
+        def close(first: int, before: float) -> int:
+            """Statistics at the ends from number ``first`` on that lie before ``before``."""
+            nonlocal ts, sent
+            while first < len(at) and at[first] < before - 1e-6 and len(ts):
+                end = at[first]
+                young = int(np.searchsorted(ts, end - cfg.horizon, "left"))
+                if young:
+                    ts, sent = ts[young:], sent[young:]
+                n, first = len(ts), first + 1
+                if n < cfg.min_events:
+                    continue
+                gaps = np.diff(ts)
+                med = float(np.median(gaps)) if n > 1 else None
+                out.append((*pair, float(end), n, float(gaps.mean()) if n > 1 else None, float(gaps.std(ddof=1)) if n > 2 else None, float(sent.mean()), float(sent.std(ddof=1)) if n > 1 else None, med, float(np.median(np.abs(gaps - med))) if n > 1 else None, float(ts[-1]), name))
+            return first
+
+        def made() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [()] * 12
+            batch = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, [pa.string(), pa.string(), pa.float64(), pa.int64(), *[pa.float64()] * 7, pa.string()], strict=True)], names=[x.split()[0] for x in _TIMED.split(", ")])
+            out.clear()
+            return batch
+
+        place = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            src, dst, names = (batch.column(k).to_pylist() for k in (0, 1, 5))
+            times, own, octets = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3, 4))
+            new = np.flatnonzero([i == 0 or src[i] != src[i - 1] or dst[i] != dst[i - 1] or own[i] != own[i - 1] for i in range(len(src))])
+            for a, b in zip(new, np.append(new[1:], len(src)), strict=True):  # flows of one pair and window
+                if (src[a], dst[a]) != pair:
+                    close(place, np.inf)
+                    pair, ts, sent, place = (src[a], dst[a]), np.empty(0), np.empty(0), int(np.searchsorted(at, own[a] - 1e-6))
+                place = max(close(place, own[a]), int(np.searchsorted(at, own[a] - 1e-6)) if not len(ts) else 0)
+                ts, sent, name = np.concatenate((ts, times[a:b])), np.concatenate((sent, octets[a:b].astype(float))), names[b - 1]
+            if len(out) > 20_000:
+                yield made()
+        if pair is not None:
+            close(place, np.inf)
+        yield made()
+
+    return run
+
+
 def beacon_pairs(flows: DataFrame, cfg: Beacon = Beacon()) -> DataFrame:
     """Timing of each (source, destination) over the horizon that ends with each window: features and score.
 
-    A flow serves the window ends of the horizon after it. Its interval to the flow before is found once, within its
-    window or from the pair's last window before, and counts at the ends that both flows serve; so no pair's history is
-    sorted or collected. Window ends are met by microsecond, as sums of the same width may differ in the last bit.
+    Flows are dealt and sorted by pair once; pairs that never reach the gate are left out there. One pass then keeps a
+    pair's flows of one horizon and has its statistics at every window end, on whichever clock the windows run.
     """
     heard = flows.where((c("proto") == "tcp") & (c("syn") > 0) & (F.coalesce("ics_proto", F.lit("")) == ""))
-    last = heard.agg(F.max("window_end").alias("_last"))  # one row
-    own, pair = ["src_ip", "dst_ip", "window_end"], ["src_ip", "dst_ip", "tick"]
-    tick = lambda at: F.round(at * 1e6).cast("bigint")
-    serves = lambda ts, end: F.floor((ts + cfg.horizon - end) / cfg.width)
-    # counts a window bound the counts a horizon, so that only pairs that can reach the gate are spread over window ends
-    each = heard.groupBy(*own).agg(F.count("*").alias("k"), F.max("ts").alias("late"))
-    earlier = Window.partitionBy("src_ip", "dst_ip").orderBy("window_end")
-    each = each.withColumns({"_late": F.lag("late").over(earlier), "_end": F.lag("window_end").over(earlier)})
-    reach = F.least(serves(c("late"), c("window_end")), F.round((c("_last") - c("window_end")) / cfg.width)).cast("int")
-    spread = each.crossJoin(F.broadcast(last)).where(reach >= 0).select(*own, "k", "_late", "_end", F.explode(F.sequence(F.lit(0), reach)).alias("i"))
-    spread = spread.withColumn("at", c("window_end") + c("i") * cfg.width).withColumn("tick", tick(c("at")))
-    most = spread.withColumn("_most", F.sum("k").over(Window.partitionBy(*pair))).where(c("_most") >= cfg.min_events)
-    able = most.groupBy(*own).agg(F.first("_late").alias("_late"), F.first("_end").alias("_end"), F.collect_list(F.struct("i", "at", "tick")).alias("ends"))  # a horizon's windows at most
-    before = F.lag("ts").over(Window.partitionBy(*own).orderBy("ts", "seq"))
-    served = heard.select(*own, "ts", "seq", "bytes_out", "tls_sni", before.alias("_prev")).join(able, own)
-    served = served.withColumns({"_end": F.when(c("_prev").isNull(), c("_end")).otherwise(c("window_end")), "_prev": F.coalesce("_prev", "_late")})
-    served = served.select("src_ip", "dst_ip", "ts", "seq", "bytes_out", "tls_sni", "_prev", "_end", F.explode(F.filter("ends", lambda e: e["i"] <= serves(c("ts"), c("window_end")))).alias("e"))
-    steps = (c("e.at") - c("_end")) / cfg.width
-    both = (F.abs(steps - F.round(steps)) < 1e-6) & (F.round(steps) <= serves(c("_prev"), c("_end")))
-    rows = served.select("src_ip", "dst_ip", "ts", "seq", "bytes_out", "tls_sni", c("e.tick").alias("tick"), c("e.at").alias("at"), F.when(both, c("ts") - c("_prev")).alias("gap"))
-    stats = rows.groupBy(*pair).agg(
-        F.count("*").alias("n_events"), F.array_sort(F.collect_list("gap")).alias("gaps"), F.max("at").alias("at"), F.avg("gap").alias("m"), F.stddev_samp("gap").alias("sd"), F.avg("bytes_out").alias("bm"), F.stddev_samp("bytes_out").alias("bsd"),
-        F.max(F.struct("ts", "seq", "tls_sni")).alias("latest"),
-    ).where(c("n_events") >= cfg.min_events)
-    middle = lambda xs: (F.get(xs, F.floor((F.size(xs) - 1) / 2).cast("int")) + F.get(xs, F.floor(F.size(xs) / 2).cast("int"))) / 2
-    stats = stats.withColumn("med", middle(c("gaps"))).withColumn("mad", middle(F.array_sort(F.transform("gaps", lambda g: F.abs(g - c("med")))))).drop("gaps")
-    known = cumulative_distinct(heard, "dst_ip", "src_ip", "dst_prevalence").withColumn("window_end", tick(c("window_end")))
-    popular = _as_of(stats.select("dst_ip", c("tick").alias("at")).distinct(), known, "dst_ip", "dst_prevalence").withColumnRenamed("at", "tick")
+    pair = ["src_ip", "dst_ip"]
+    dealt = heard.select(*pair, "ts", "window_end", "bytes_out", "tls_sni", "seq").repartition(*pair).sortWithinPartitions(*pair, "ts", "seq")
+    able = dealt.withColumn("_n", F.count("*").over(Window.partitionBy(*pair))).where(c("_n") >= cfg.min_events).drop("_n", "seq")
+    stats = able.mapInArrow(_timing(window_ends(flows, cfg.width, cfg.idle), cfg), _TIMED)
+    known = cumulative_distinct(heard, "dst_ip", "src_ip", "dst_prevalence")
     hosts = inside_hosts(heard)
-    met = stats.join(popular, ["dst_ip", "tick"])
+    met = _as_of(stats, known, "dst_ip", "dst_prevalence")
     cv = X.variation(c("m"), c("sd"))
     met = met.select(
-        c("at").alias("window_end"), "src_ip", "dst_ip", c("n_events").cast("double").alias("n_events"), "m", c("dst_prevalence").cast("double").alias("dst_prevalence"), c("latest.ts").alias("ts_event"), c("latest.tls_sni").alias("sni"),
+        "window_end", "src_ip", "dst_ip", c("n_events").cast("double").alias("n_events"), "m", c("dst_prevalence").cast("double").alias("dst_prevalence"), c("latest_ts").alias("ts_event"), "sni",
         X.regularity(cv).alias("regularity"), X.jitter_band(cv).alias("jitter_band"), cv.alias("interval_cv"), (c("mad") / F.when(c("med") == 0, 1.0).otherwise(c("med"))).alias("mad_ratio"),
         X.variation(c("bm"), c("bsd")).alias("byte_cv"), (~X.is_private(c("dst_ip"))).cast("double").alias("dst_external"),
     )
@@ -219,10 +274,12 @@ def beacon_pairs(flows: DataFrame, cfg: Beacon = Beacon()) -> DataFrame:
 
 
 def _as_of(wanted: DataFrame, known: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, at, value): the latest known value of a key at or before ``at``, by one ordered pass over both."""
-    rows = known.select(key, c("window_end").alias("at"), value, F.lit(0).alias("ask")).unionAll(wanted.select(key, "at", F.lit(None).cast("bigint"), F.lit(1)))
-    filled = rows.withColumn(value, F.last(value, True).over(Window.partitionBy(key).orderBy("at", "ask").rowsBetween(Window.unboundedPreceding, 0)))
-    return filled.where("ask = 1").select(key, "at", value)
+    """``wanted`` with the latest known value of its key at or before its window_end, by one ordered pass over both."""
+    asks = wanted.columns
+    empty = [F.lit(None).cast(t).alias(k) for k, t in wanted.dtypes if k not in (key, "window_end")]
+    rows = known.select(key, "window_end", *empty, value, F.lit(0).alias("_ask")).unionByName(wanted.withColumns({value: F.lit(None).cast(dict(known.dtypes)[value]), "_ask": F.lit(1)}))
+    order = Window.partitionBy(key).orderBy(F.round(c("window_end") * 1e6), "_ask").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn(value, F.last(value, True).over(order)).where("_ask = 1").select(*asks, value)
 
 
 def beacon(flows: DataFrame, cfg: Beacon = Beacon()) -> DataFrame:

@@ -41,7 +41,7 @@ class Config:
 
 def detect(flows: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Detections of all detectors, in their order. ``flows`` should be kept (``persist``) by the caller: nine read them."""
-    beacon = D.Beacon(**{**cfg.beacon.__dict__, "width": cfg.width})
+    beacon = D.Beacon(**{**cfg.beacon.__dict__, "width": cfg.width, "idle": 10 if cfg.realign else None})
     found = [D.flood(flows, cfg.flood), D.beacon(flows, beacon), D.dga(flows, cfg.dga), D.tunnel(flows, cfg.tunnel), D.tls(flows, cfg.tls), D.recon(flows, cfg.recon), D.exfil(flows, cfg.exfil), D.ics(flows, cfg.ics)]
     if cfg.forest is not None and cfg.envelope is not None:
         scored = A.scored(flows, cfg.forest, *cfg.envelope, cfg.anomaly)
