@@ -20,8 +20,10 @@ def test_engine_end_to_end(spark):
     assert len({a.alert_id for a in alerts}) == len(alerts)
     assert tuple(N.verify(engine.ledger(made)).first())[:2] == (True, len(alerts))
     assert engine.host_false_positives(got["flows"], made).first().flagged == 0
+    assert all(1 <= len(a.flow_ids) <= 8 and a.detector and a.model_version for a in alerts)
+    assert got["incidents"].count() == len({a.src_ip for a in alerts})
+    made.unpersist()
     got["flows"].unpersist()
-    got["detections"].unpersist()
 
 
 def test_synthetic_is_repeatable(spark):

@@ -59,13 +59,22 @@ def windowed(flows: DataFrame, cfg: Config = Config()) -> DataFrame:
     return W.realigned(seen, cfg.width) if cfg.realign else W.anchored(seen, cfg.width)
 
 
-def run(flows: DataFrame, cfg: Config = Config(), suppress: DataFrame | None = None) -> dict[str, DataFrame]:
-    """flows (windowed, kept in memory and on disk), detections, alerts, incidents; all lazy; flows and detections are kept once made."""
+class Results(dict):
+    """What a run gives by name; alerts get the ids of their flows when they are asked for."""
+
+    def __missing__(self, name: str) -> DataFrame:
+        if name != "alerts":
+            raise KeyError(name)
+        self[name] = N.with_flow_ids(self["raised"], self["flows"], self["horizon"])
+        return self[name]
+
+
+def run(flows: DataFrame, cfg: Config = Config(), suppress: DataFrame | None = None) -> Results:
+    """flows (windowed, kept in memory and on disk once read), detections, raised (alerts without flow ids), alerts, incidents; all lazy."""
     kept = windowed(flows, cfg).persist()
-    detections = detect(kept, cfg).persist()  # few rows, read twice by emit-once
-    alerts = N.alerts(detections, cfg.calibration, suppress, cfg.dedupe)
-    told = N.with_flow_ids(alerts, kept, cfg.beacon.horizon)
-    return {"flows": kept, "detections": detections, "alerts": told, "incidents": N.incidents(alerts)}
+    detections = detect(kept, cfg)
+    raised = N.alerts(detections, cfg.calibration, suppress, cfg.dedupe)
+    return Results(flows=kept, detections=detections, raised=raised, incidents=N.incidents(raised), horizon=cfg.beacon.horizon)
 
 
 def record(alerts: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .flow_oracle import FE
+from ..sources.datasets import FAMILIES
+from .flow_oracle import FE, FQ
 
 FD = """fd AS (SELECT d.doc_id AS id, l.quality AS y, l.toxic AS y2, CAST(d.n_chars AS DOUBLE) AS f1, CAST(length(regexp_replace(d.text,'[^0-9]','','g')) AS DOUBLE) AS f2 FROM documents d JOIN labels l ON d.doc_id=l.doc_id),
 sc AS (SELECT *, floor(log10(f1+1)*20)/100 AS score FROM fd)"""
@@ -11,7 +12,14 @@ _CLASS = f"""{FD}, {BINARY}, cl AS (SELECT cls, coalesce(sum(n) FILTER (y=cls AN
 SELECT CAST(cls AS INT) AS cls, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CASE WHEN tp+fp>0 THEN tp/(tp+fp)::DOUBLE ELSE 0 END AS precision, CASE WHEN tp+fn>0 THEN tp/(tp+fn)::DOUBLE ELSE 0 END AS recall, CASE WHEN 2*tp+fp+fn>0 THEN 2*tp/(2*tp+fp+fn)::DOUBLE ELSE 0 END AS f1 FROM cl WHERE tp+fp+fn>0)"""
 _C = lambda n: "1.0::DOUBLE" if n <= 1 else f"(2*(ln({n}-1)+0.5772156649015329::DOUBLE)-2*({n}-1)/{n}::DOUBLE)"
 
+_KNOWN = ", ".join(f"('{x}','{k}')" for k, xs in FAMILIES.items() for x in xs)
+
 ORACLE = {
+    "category_map": f"SELECT * FROM (VALUES {_KNOWN}, ('Normal','normal'), (' neptune ','dos'), ('unheard','other')) v(attack, category)",
+    "model_manifest": "SELECT * FROM (VALUES ('example','ok'), ('weights','ok'), ('missing','missing')) v(name, state)",
+    "netflow_decode": f"WITH {FE} SELECT round(1757900000 - 100 + seq/100::DOUBLE, 3) AS ts, src_ip, dst_ip, src_port, dst_port, proto, round(duration, 3) AS duration, pkts_out, bytes_out, CASE WHEN proto='tcp' THEN 1 ELSE 0 END AS syn, CASE WHEN proto='tcp' THEN synack ELSE 0 END AS synack, 0 AS rst, 0 AS fin FROM fe",
+    "packet_decode": f"WITH {FQ} SELECT round(seq + h*0.02::DOUBLE, 3) AS ts, CASE h WHEN 0 THEN src_ip ELSE dst_ip END AS src_ip, CASE h WHEN 0 THEN dst_ip ELSE src_ip END AS dst_ip, CAST(CASE h WHEN 0 THEN 1024+seq%60000 ELSE 53 END AS INT) AS src_port, CAST(CASE h WHEN 0 THEN 53 ELSE 1024+seq%60000 END AS INT) AS dst_port, 'udp' AS proto, dns_qname FROM fq, range(2) r(h) WHERE dns_qname<>''",
+    "flow_assembly": f"WITH {FQ} SELECT round(seq::DOUBLE, 3) AS ts, src_ip, dst_ip, CAST(1024+seq%60000 AS INT) AS src_port, 53 AS dst_port, 'udp' AS proto, CAST(1 AS BIGINT) AS pkts_out, CAST(1 AS BIGINT) AS pkts_in, dns_qname, dns_qtype, dns_rcode FROM fq WHERE dns_qname<>''",
     "lr_scaler": f"WITH {FD} SELECT round(avg(f1),4) AS mu_f1, round(CASE WHEN stddev_samp(f1)=0 THEN 1 ELSE stddev_samp(f1) END,4) AS sigma_f1, round(avg(f2),4) AS mu_f2, round(CASE WHEN stddev_samp(f2)=0 THEN 1 ELSE stddev_samp(f2) END,4) AS sigma_f2 FROM fd",
     "lr_threshold": f"WITH {FD}, g AS (SELECT i/100::DOUBLE AS t FROM range(5,100,2) r(i)), h AS (SELECT t, count(*) FILTER (y=1 AND score>=t) AS tp, count(*) FILTER (y=0 AND score>=t) AS fp, count(*) FILTER (y=1 AND score<t) AS fn FROM sc, g GROUP BY t) SELECT t, tp, fp, fn, round(CASE WHEN tp>0 THEN 2*tp/(2*tp+fp+fn)::DOUBLE END,6) AS f1 FROM h",
     "temporal_split": f"WITH {FD} SELECT id, row_number() OVER (ORDER BY f1, id) <= floor(count(*) OVER () * 0.7::DOUBLE) AS train FROM sc",

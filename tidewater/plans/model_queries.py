@@ -6,6 +6,7 @@ import hashlib
 import json
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -125,23 +126,65 @@ def model_manifest(s, d):
     return want.join(have, "name", "left").select("name", F.when(c("have").isNull(), "missing").when(c("have") == c("want"), "ok").otherwise("changed").alias("state"))
 
 
+def _datagrams(s, d):
+    """The event flows as an exporter would send them: 30 records a datagram."""
+    flags, proto = F.when(c("synack") > 0, 0x12).otherwise(0x02), F.when(c("proto") == "tcp", 6).otherwise(17)
+    record = F.struct(
+        c("seq"), c("src_ip").alias("src"), c("dst_ip").alias("dst"), c("src_port").alias("sport"), c("dst_port").alias("dport"), proto.alias("proto"), flags.alias("flags"),
+        c("pkts_out").alias("pkts"), c("bytes_out").alias("bytes"), (c("seq") * 10).alias("first"), (c("seq") * 10 + F.round(c("duration") * 1000).cast("bigint")).alias("last"),
+    )
+    groups = T.event_flows(s, d).groupBy(F.floor(c("seq") / 30).alias("g")).agg(F.array_sort(F.collect_list(record)).alias("flows"))
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([wire.netflow_v5(x) for x in batch.column(0).to_pylist()], pa.binary())], names=["datagram"])
+
+    return groups.select("flows").mapInArrow(run, "datagram binary")
+
+
 def netflow_decode(s, d):
-    flows = [{"src": f"10.0.0.{i % 250 + 1}", "dst": "8.8.8.8", "sport": 1000 + i, "dport": 443, "proto": 6, "flags": 0x12, "pkts": 3, "bytes": 900 + i, "first": 1000 * i, "last": 1000 * i + 500} for i in range(60)]
-    grams = s.createDataFrame([(bytearray(wire.netflow_v5(flows[i : i + 30])),) for i in range(0, 60, 30)], "datagram binary")
-    return netflow.decode(grams).orderBy("ts")
+    return netflow.decode(_datagrams(s, d)).withColumns({"ts": F.round("ts", 3), "duration": F.round("duration", 3)})
+
+
+def _lookups(s, d):
+    """The name flows as frames: each a question and its answer 20 ms later."""
+    asked = T.name_flows(s, d).where("dns_qname <> ''").select("seq", "ts", "src_ip", "dns_qname", "dns_qtype", "dns_rcode")
+
+    def run(batches):
+        kinds = {"A": 1, "CNAME": 5, "TXT": 16}
+        for batch in batches:
+            at, data = [], []
+            for r in batch.to_pylist():
+                port, kind = 1024 + r["seq"] % 60_000, kinds[r["dns_qtype"]]
+                question, answer = wire.dns(r["dns_qname"], kind), wire.dns(r["dns_qname"], kind, 3 if r["dns_rcode"] == "NXDOMAIN" else 0)
+                at += [r["ts"], r["ts"] + 0.02]
+                data += [wire.ethernet(wire.ipv4(r["src_ip"], "10.42.0.53", 17, wire.udp(port, 53, question))), wire.ethernet(wire.ipv4("10.42.0.53", r["src_ip"], 17, wire.udp(53, port, answer)))]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.float64()), pa.array([1] * len(at), pa.int32()), pa.array(data, pa.binary())], names=["ts", "linktype", "data"])
+
+    return asked.mapInArrow(run, "ts double, linktype int, data binary")
 
 
 def packet_decode(s, d):
-    return packets.decode(s.createDataFrame(wire.sample_packets(), "ts double, linktype int, data binary")).select("ts", "src_ip", "dst_ip", "src_port", "dst_port", "proto", "dns_qname", "tls_sni", "tls_ja4", "ics_proto", "ics_func")
+    return packets.decode(_lookups(s, d)).select(F.round("ts", 3).alias("ts"), "src_ip", "dst_ip", "src_port", "dst_port", "proto", "dns_qname")
 
 
 def flow_assembly(s, d):
+    return packets.assemble(packets.decode(_lookups(s, d))).select(F.round("ts", 3).alias("ts"), "src_ip", "dst_ip", "src_port", "dst_port", "proto", "pkts_out", "pkts_in", "dns_qname", "dns_qtype", "dns_rcode")
+
+
+def capture_decode(s, d):
+    """Frames of a handshake, a lookup and industrial commands: constants, as no table has such bytes."""
+    return packets.decode(s.createDataFrame(wire.sample_packets(), "ts double, linktype int, data binary")).select("ts", "src_ip", "dst_ip", "src_port", "dst_port", "proto", "dns_qname", "tls_sni", "tls_ja4", "ics_proto", "ics_func")
+
+
+def capture_flows(s, d):
     rows = packets.decode(s.createDataFrame(wire.sample_packets(), "ts double, linktype int, data binary"))
     return packets.assemble(rows).select("ts", "src_ip", "dst_ip", "src_port", "dst_port", "proto", "pkts_out", "pkts_in", "bytes_out", "bytes_in", "syn", "synack", "dns_qname", "dns_rcode", "tls_sni", "ics_func")
 
 
 def category_map(s, d):
-    return datasets.categories(s.createDataFrame([(x,) for x in ("normal", "neptune", "satan", "guess_passwd", "rootkit", "worm", "unheard")], "attack string"))
+    names = [x for group in datasets.FAMILIES.values() for x in group] + ["Normal", " neptune ", "unheard"]
+    return datasets.categories(s.createDataFrame([(x,) for x in names], "attack string"))
 
 
 def synthetic_flows(s, d):
@@ -150,5 +193,5 @@ def synthetic_flows(s, d):
 
 QUERIES = {f.__name__: f for f in (
     lr_scaler, lr_threshold, lr_fit, temporal_split, calibration_fit, confusion, prf_macro, macro_f1, binary_metrics, ece_brier, recall_at_fpr, auc, host_truth,
-    iforest_score, iforest_fit, autoencoder, anomaly_hits, anomaly_hits_exact, model_manifest, netflow_decode, packet_decode, flow_assembly, category_map, synthetic_flows,
+    iforest_score, iforest_fit, autoencoder, anomaly_hits, anomaly_hits_exact, model_manifest, netflow_decode, packet_decode, flow_assembly, capture_decode, capture_flows, category_map, synthetic_flows,
 )}
