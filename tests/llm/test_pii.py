@@ -81,6 +81,54 @@ def test_windows_agree_over_long_texts():
     assert len(pii.find_spans([dense], net)[0][1]) == len(pii.base_spans(dense)) == 300
 
 
+def test_windows_cover_all_that_can_hold_a_span():
+    for text, spans in pii.labelled(400, seed=31):
+        filler = "on the thing and ered " * 12
+        whole, shift = filler + text + filler, len(filler)
+        covered = np.zeros(len(whole), bool)
+        counted = np.zeros(len(whole), int)
+        for at, low, high in pii.windows(whole, pii.encode(whole)):
+            covered[at : at + pii.WINDOW] = True
+            counted[at + low : min(at + high, at + pii.WINDOW)] += 1
+        for _, a, b in spans:
+            assert covered[a + shift : b + shift].all()
+        assert (counted[covered] == 1).mean() > 0.99 and counted.max() <= 2
+
+
+class RunsOfDigits:
+    """A network that marks each run of digits and dashes as a phone number, as far as a window shows it."""
+
+    def decode(self, codes):
+        run = (codes == 1) | (codes == pii.encode("-")[0])
+        start = run & ~np.concatenate((np.zeros((len(run), 1), bool), run[:, :-1]), 1)
+        return np.where(start, 7, np.where(run, 8, 0)).astype(np.int8)
+
+
+def test_spans_longer_than_the_overlap_of_windows():
+    number = "1------" * 10  # 70 characters, more than windows share
+    for pad in range(100):
+        text = "ab " * 40 + "x" * pad + " " + number + " ok " + "ab " * 30
+        at = text.index(number)
+        assert (3, at, at + 70) in pii.find_spans([text], RunsOfDigits())[0][1], pad
+    long = "a" * 30_000 + "7" + "b" * 30_000
+    assert len(pii.windows(long, pii.encode(long))) < 1300
+
+
+def test_reconcile_equals_the_plain_rule():
+    rng = np.random.default_rng(2)
+    for _ in range(400):
+        draw = lambda n: [(int(k), int(a), int(a + w)) for k, a, w in zip(rng.integers(0, 4, n), rng.integers(0, 60, n), rng.integers(1, 12, n), strict=True)]
+        base, found = sorted(draw(3)), [(s, 1) for s in draw(12)]
+        votes = {s: sum(x == s for x, _ in found) for s, _ in found}
+        taken = [(a, b) for _, a, b in base]
+        want = list(base)
+        for s in sorted(votes, key=lambda s: (-votes[s], s[1] - s[2], s[1], s[0])):
+            if all(s[2] <= a or b <= s[1] for a, b in taken):
+                taken.append((s[1], s[2]))
+                want.append(s)
+        assert pii.reconcile(found, base) == sorted(want)
+
+
 def test_query_and_odd_rows(spark, small):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     got = queries.op10_pii(spark, small).collect()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -292,8 +293,9 @@ def trained(count: int = 1600, epochs: int = 14, batch: int = 80, rate: float =
 # -- windows, reconciliation ------------------------------------------------------------------------------------------
 
 
-def windows(text: str, codes: np.ndarray) -> list[int]:
-    """Starts of the windows that cover everything within reach of a digit, an @ or a written-out at.
+def windows(text: str, codes: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, from, to) of the windows that cover everything within reach of a digit, an @ or a written-out at, and of the
+    words there: of a window's characters those between from and to count, nearer to its middle than to its neighbours'.
 
     Each kind of span holds one of these, so the rest of the text can't start or hold one; it is outside by rule.
     """
@@ -304,11 +306,15 @@ def windows(text: str, codes: np.ndarray) -> list[int]:
     if not len(near):
         return []
     cuts = np.flatnonzero(np.diff(near, prepend=-WINDOW - 2 * REACH) > 2 * REACH)
-    starts = []
+    out, done = [], 0
     for a, b in zip(near[cuts], near[np.append(cuts[1:], len(near)) - 1], strict=True):
-        low, high = max(0, int(a) - REACH), min(len(codes), int(b) + REACH + 1)
-        starts += range(low, max(low + 1, high - STRIDE), STRIDE)
-    return starts
+        low, high = max(done, int(a) - REACH), min(len(codes), int(b) + REACH + 1)
+        while low > done and not text[low - 1].isspace():  # the word that reach begins in counts whole
+            low -= 1
+        starts = range(low, max(low + 1, high - STRIDE), STRIDE)
+        out += [(at, 0 if at == low else STRIDE // 2, WINDOW if at == starts[-1] else STRIDE + STRIDE // 2) for at in starts]
+        done = high
+    return out
 
 
 def sound(kind: int, piece: str) -> bool:
@@ -334,11 +340,19 @@ def reconcile(found: list[tuple[Span, int]], base: list[Span]) -> list[Span]:
     votes: dict[Span, int] = {}
     for span, _ in found:
         votes[span] = votes.get(span, 0) + 1
-    taken = sorted((a, b) for _, a, b in base)
+    starts, ends = [], []  # what is taken, apart and ascending
+    for a, b in sorted((a, b) for _, a, b in base):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     added: list[Span] = []
     for span in sorted(votes, key=lambda s: (-votes[s], s[1] - s[2], s[1], s[0])):
-        if all(span[2] <= a or b <= span[1] for a, b in taken):
-            taken.append((span[1], span[2]))
+        at = bisect.bisect_left(starts, span[2])  # those before it start before the span's end
+        if not at or ends[at - 1] <= span[1]:
+            starts.insert(at, span[1])
+            ends.insert(at, span[2])
             added.append(span)
     return sorted([*base, *added])
 
@@ -347,34 +361,43 @@ def find_spans(texts: list[str], net: Network, rows: int = 4096) -> list[tuple[l
     """(base spans, all spans) of each whole text. Windows of many texts are decoded together, ``rows`` at a time."""
     base = [base_spans(t) for t in texts]
     found: list[list[tuple[Span, int]]] = [[] for _ in texts]
-    waiting: list[tuple[int, int, np.ndarray]] = []
+    joint: dict[int, np.ndarray] = {}  # tags of whole texts, each character's from the window whose middle it is nearest to
+    waiting: list[tuple[int, int, int, int, np.ndarray]] = []
+
+    def spans_in(doc: int, row: np.ndarray, at: int, low: int, high: int) -> None:
+        """Spans between low and high of a row of tags that begins at ``at``, but those that go on beyond them."""
+        for a in np.flatnonzero(row[:high] % 2 == 1):
+            kind, b = (int(row[a]) - 1) // 2, int(a) + 1
+            while b < len(row) and row[b] == 2 + 2 * kind:
+                b += 1
+            if a >= low and b <= high and sound(kind, texts[doc][at + a : at + b]):
+                found[doc].append(((kind, at + int(a), at + b), 1))
 
     def flush() -> None:
         codes = np.zeros((len(waiting), WINDOW), np.int16)
-        for i, (_, _, piece) in enumerate(waiting):
+        for i, (*_, piece) in enumerate(waiting):
             codes[i, : len(piece)] = piece
         tags = net.decode(codes)
         for i in np.flatnonzero(tags.any(1)):
-            doc, at, piece = waiting[i]
-            text, row = texts[doc], tags[i]
-            for a in np.flatnonzero(row % 2 == 1):
-                kind, b = (int(row[a]) - 1) // 2, int(a) + 1
-                while b < len(piece) and row[b] == 2 + 2 * kind:
-                    b += 1
-                whole = (a > 0 or at == 0) and (b < WINDOW or at + b == len(text))  # else another window has it whole
-                if whole and sound(kind, text[at + a : at + b]):
-                    found[doc].append(((kind, at + int(a), at + b), 1))
+            doc, at, low, high, piece = waiting[i]
+            text, row = texts[doc], tags[i, : len(piece)]
+            joint.setdefault(doc, np.zeros(len(text), np.int8))[at + low : at + min(high, len(piece))] = row[low:high]
+            first = 1 if at else 0
+            last = len(piece) if at + len(piece) == len(text) else len(piece) - 1
+            spans_in(doc, row, at, first, last)
         waiting.clear()
 
     for doc, text in enumerate(texts):
         if _DIGITS.search(text) or "@" in text or _LETTERS.search(text):
             codes = encode(text)
-            for at in windows(text, codes):
-                waiting.append((doc, at, codes[at : at + WINDOW]))
+            for at, low, high in windows(text, codes):
+                waiting.append((doc, at, low, high, codes[at : at + WINDOW]))
                 if len(waiting) >= rows:
                     flush()
     if waiting:
         flush()
+    for doc, tags in joint.items():
+        spans_in(doc, tags, 0, 0, len(tags))
     return [(b, reconcile(f, b)) for b, f in zip(base, found, strict=True)]
 
 
@@ -397,7 +420,9 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: bo
 
     Spans are in code points, by kind, then start, comma-joined. Fixed patterns apply to the whole text. The network's
     spans are added where they overlap no fixed one. A null or empty text has none (its masked text stays null). Null ids
-    and repeated rows are kept; an empty table gives an empty result.
+    and repeated rows are kept. Columns of ``keep`` named like a result's are called k0, k1, ...; others are not used; an empty
+    table gives an empty result. A text is held whole, with two bytes a character; its windows are decoded 4,096 at a time. A
+    span may be longer than a window: tags are joined over windows, each character's from the window whose middle is nearest.
     """
     net = trained()
     kinds, names = dict(df.dtypes), [f"k{i}" for i in range(len(keep))]
