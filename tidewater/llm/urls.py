@@ -100,7 +100,7 @@ _DIGITS = re.compile("[0-9]+")
 
 def split_url(url: Column) -> tuple[Column, Column]:
     """Host (after the first ``://``, up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased) and path (up to ``?``, ``#`` or the end); both empty for a null or a url without ``://``."""
-    rest = F.when(F.instr(url, "://") > 0, F.expr("substring(url, instr(url, '://') + 3)")).otherwise("")
+    rest = F.when(F.instr(url, "://") > 0, F.substr(url, F.instr(url, "://") + 3)).otherwise("")
     host = F.translate(F.regexp_extract(rest, "^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return F.coalesce(host, F.lit("")), F.coalesce(F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1), F.lit(""))
 
@@ -151,7 +151,9 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     """page_id, host, path, rule, verdict (allow or block), score (the model's probability of block; null where a rule fits).
 
     A null url or one without ``://`` has an empty host and path, no rule, and the model's verdict on empty texts.
-    Repeated rows each get a row; other columns are not used; an empty table gives an empty result.
+    Repeated rows each get a row; null ids are kept; of rules of one length that fit, the last of ``rules`` counts (their hosts
+    and paths are then the same); other columns, whatever their names, are not used; an empty table gives an empty result. A url
+    is read whole, however long.
     """
     host, path = split_url(F.col("url"))
     w, b = train(labelled)
