@@ -178,3 +178,23 @@ def test_pipeline_runs(spark, small):
     assert out.columns[:7] == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     sizes = out.groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
     assert len(sizes) > 50 and max(r.n for r in sizes) <= 2048
+
+
+def test_pipeline_over_odd_and_empty_tables(spark, small, tmp_path):
+    import corpus_pipeline
+
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    odd = [(None, "", None, None, 0), (None, None, None, None, None), (7, None, "en", "src1", 0), (100_001, "w " * 60_000, None, "src1", 1), (100_002, "\x00 \ud7ff", "xx", None, 3)]
+    more = docs.unionAll(docs.limit(20)).unionAll(spark.createDataFrame(odd, docs.schema)).selectExpr("*", "1 AS node", "'x' AS key", "2 AS row", "doc_id AS b")
+    for name, rows, known in (("odd", more, labels), ("none", more.limit(0), labels.limit(0))):
+        rows.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        known.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert (out.count() > 50) == (name == "odd")
+
+
+def test_mixed_rows_of_one_id_keep_their_own_words(spark):
+    rows = [(1, f"{s}{k} " * 40, "en", s, 0) for s in "ab" for k in range(3)] + [(None, "n " * 30, None, None, 0)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for r in mixing.mixed_documents(docs).collect():
+        assert set(r.text.split()) == {"n"} if r.source is None else all(w[0] == r.source for w in r.text.split()) and len(set(r.text.split())) == 1

@@ -115,3 +115,21 @@ def test_a_passage_left_of_a_frequent_line(spark, monkeypatch):
     assert found(df) == want and len(want) >= 70
     monkeypatch.setattr(suffixes, "HOT", 20)
     assert found(df) == want
+
+
+def test_passage_behind_a_frequent_seed_and_any_number_of_partitions(spark):
+    """Two texts share 50 words; 38 others share only 27 of them, so the true partner isn't near in any order of the seed."""
+    rng = np.random.default_rng(21)
+    word = lambda n: [f"q{x}" for x in rng.integers(0, 10**6, n)]
+    passage = word(50)
+    docs = [(0, " ".join(word(41) + passage + word(30))), (1, " ".join(word(7) + passage + word(60)))]
+    docs += [(2 + k, " ".join(word(20) + passage[(k % 23) : (k % 23) + 27] + word(40))) for k in range(38)]
+    found = []
+    for parts in (2, 7, 211):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        got = suffixes.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(parts)).collect()
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        found.append(sorted(map(tuple, got)))
+    assert found[0] == found[1] == found[2]
+    assert [(r[0], r[3], r[5]) for r in found[0]] == [(0, "41:91", 1), (1, "7:57", 0)]

@@ -14,9 +14,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in ``spark.checkpoint.dir``; one of our own only where it is unset."""
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``; one of our own where it is unset, in local mode only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="tidewater-")
         spark.sparkContext.setCheckpointDir(folder)
         spark.conf.set("spark.checkpoint.dir", folder)

@@ -217,8 +217,10 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> Model:
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", spans: bool = True, switch: float = SWITCH) -> DataFrame:
     """doc_id, lang_pred, score and, if asked for, spans (start, end, lang), of every whole text; one row per input row.
 
-    und with score 0 and no spans for a null text or one without a letter (or if no language was learned). Null ids and
-    repeated rows are kept; other columns are not used; an empty table gives an empty result.
+    und with score 0 and no spans for a null text or one without a letter (or if no language was learned). Ties go to the
+    language first in order. Null ids and repeated rows are kept; other columns, whatever their names, are not used; an empty
+    table gives an empty result. A text is split in parts of 400,000 characters; held whole are its words' scores, 8 bytes a
+    word and language.
     """
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
 

@@ -102,8 +102,9 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     document's, by ascending doc_id, after the last the first. Texts of a few hundred neighbouring ids meet in one bucket
     between quantiles of the ids; the first document of a bucket is also sent to the bucket before, so each text is
     shuffled once. A null text is empty. Equal ids follow each other by text. A row with a null id is no one's next and
-    has an empty text next. A single row is its own next. Other columns are not used; an empty table gives an empty
-    result.
+    has an empty text next. A single row is its own next. Other columns, whatever their names, are not used; an empty
+    table gives an empty result. A text is held whole as a row, with 8 bytes a word for its hashes; rows of one id are ordered by
+    one task, which spills them if they are many.
     """
     c = F.col
     docs = df.select(c(id_col).cast("long").alias("doc_id"), F.coalesce(c(text_col).cast("string"), F.lit("")).alias("text"))

@@ -47,7 +47,10 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     model, vocab = spec["model"], spec["model"].get("vocab", {})
     merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
     added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-    ranked = model.get("type") == "BPE" and (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and spec.get("normalizer") is None
+    split = spec.get("pre_tokenizer") or {}
+    ranked = model.get("type") == "BPE" and split.get("type") == "ByteLevel" and spec.get("normalizer") is None
+    ranked = ranked and split.get("add_prefix_space") is False and split.get("use_regex", True)
+    ranked = ranked and not any(model.get(k) for k in ("dropout", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix"))
     if not ranked or any(vocab.get(a + b) != 256 + i for i, (a, b) in enumerate(merges)) or set(added) - {SPECIAL}:
         return by_hand
     import tiktoken
@@ -157,7 +160,8 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
     sequences of a power of two. Padding: ``gap`` places at most in a sequence that no piece fitted.
 
     A null or empty text is the id ``end`` alone. Repeated rows are packed each for itself; null ids are kept; other
-    columns are not used; an empty table gives an empty result. Pieces of a lost task are made again alike: tasks are
+    columns, whatever their names, are not used; an empty table gives an empty result. A text and its ids are held whole, one
+    text at a time; beside them ``windows`` open windows. Pieces of a lost task are made again alike: tasks are
     the input's partitions, and each round is written before the next reads it.
     """
     if length & (length - 1):

@@ -131,8 +131,9 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 def score(df: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, score (0 to 1), predicted (1 from ``threshold`` on), and the columns ``keep``, one row per input row.
 
-    A null or empty text has all statistics zero and a score like any other. Null ids and repeated rows are kept; an
-    empty table gives an empty result.
+    A null or empty text has all statistics zero and a score like any other. Null ids and repeated rows are kept; equal texts
+    have equal scores. Columns of ``keep`` named like a result's are called k0, k1, ...; an empty table gives an empty result.
+    A text is held whole, with a list of its words.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):

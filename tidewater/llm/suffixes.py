@@ -208,7 +208,12 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with the removable passages cut out of its texts, the remaining words joined by single spaces in texts that lose any."""
+    """``df`` with the removable passages cut out of its texts, the remaining words joined by single spaces in texts that lose any.
+
+    Texts that lose nothing, null and empty ones and rows of a null id stay as they are. Rows of one id are one document: its
+    cuts, the union over its rows, apply to each of them. The result has the columns of ``df`` (which may have any names but
+    _doc and _cut); an empty table gives an empty result. A text is held whole, as a list of its words.
+    """
     cuts = repeated_passages(df, id_col, text_col).where("removable <> ''").select(F.col("doc_id").alias("_doc"), F.col("removable").alias("_cut"))
     at = F.transform(F.split("_cut", ","), lambda s: F.split(s, ":").cast("array<int>"))
     words = F.array_remove(F.split(F.col(text_col), "[ \t\n\x0b\f\r]+"), "")
