@@ -230,3 +230,15 @@ def test_beacon_keeps_its_horizon_over_a_realignment(spark):
     got = {r.window_end: r.n_events for r in D.beacon_pairs(kept, D.Beacon(width=60.0, idle=10)).collect()}
     assert got == {360.0: 6, 420.0: 7, 480.0: 8, 1560.0: 9}
     assert {round(e) for e in D.window_ends(kept, 60.0, 10)} == {60, 120, 180, 240, 300, 360, 420, 480, 1560}
+
+
+def test_hello_that_a_capture_cut_off_gives_what_is_whole():
+    from tidewater.sources import packets, wire
+
+    whole = wire.client_hello("www.example.com")
+    full = packets.client_hello(whole)
+    assert full["tls_sni"] == "www.example.com" and full["tls_ja4"].startswith("t13d0305h2")
+    seen = [packets.client_hello(whole[:n]) for n in range(len(whole))]
+    named = [i for i, x in enumerate(seen) if x and x["tls_sni"] == "www.example.com"]
+    assert len(named) > 30 and all(seen[i] is None or set(seen[i]) == set(full) for i in range(len(whole)))
+    assert seen[whole.index(b"www") + 3]["tls_sni"] == "www"

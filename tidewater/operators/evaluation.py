@@ -61,7 +61,7 @@ def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:
 
 
 def per_class(df: DataFrame, truth: str, predicted: str) -> DataFrame:
-    """tp, fp, fn, precision, recall, f1 of each class, from the confusion counts."""
+    """tp, fp, fn, precision, recall, f1 and fpr of each class, from the confusion counts."""
     m = confusion(df, truth, predicted)
     hit = m.where(c(truth) == c(predicted)).select(c(truth).alias("cls"), c("n").alias("tp"))
     row = m.groupBy(c(truth).alias("cls")).agg(F.sum("n").alias("actual"))
@@ -69,6 +69,9 @@ def per_class(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     met = row.join(col, "cls", "full").join(hit, "cls", "left").na.fill(0)
     out = met.select("cls", "tp", (c("said") - c("tp")).alias("fp"), (c("actual") - c("tp")).alias("fn"))
     share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    total = m.agg(F.sum("n").alias("_all"))  # one row
+    rest = c("_all") - c("tp") - c("fn")
+    out = out.crossJoin(F.broadcast(total)).withColumn("fpr", share(c("fp"), rest)).drop("_all")
     return out.withColumns({"precision": share(c("tp"), c("tp") + c("fp")), "recall": share(c("tp"), c("tp") + c("fn")), "f1": share(2 * c("tp"), 2 * c("tp") + c("fp") + c("fn"))})
 
 
@@ -128,9 +131,21 @@ def alert_correct(alerts: DataFrame, truth: DataFrame) -> DataFrame:
     return met.withColumn("correct", F.coalesce(F.array_contains("_truth", c("threat_class")), F.lit(False))).drop("_truth")
 
 
+def host_detection(truth: DataFrame, prediction: DataFrame) -> DataFrame:
+    """One row over hosts (column host of both): tp, fp, fn, precision, recall and f1 of being named at all."""
+    both = truth.select("host", F.lit(1).alias("bad")).join(prediction.select("host", F.lit(1).alias("named")), "host", "full").na.fill(0)
+    k = lambda bad, named: F.coalesce(F.sum(((c("bad") == bad) & (c("named") == named)).cast("bigint")), F.lit(0))
+    m = both.agg(k(1, 1).alias("tp"), k(0, 1).alias("fp"), k(1, 0).alias("fn"))
+    share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    tp, fp, fn = c("tp"), c("fp"), c("fn")
+    return m.select("tp", "fp", "fn", share(tp, tp + fp).alias("precision"), share(tp, tp + fn).alias("recall"), share(2 * tp, 2 * tp + fp + fn).alias("f1"))
+
+
 def engine_stats(flows: DataFrame, alerts: DataFrame) -> DataFrame:
-    """One row: flows, windows, alerts, and nearest-rank latencies."""
-    counts = flows.agg(F.count("*").alias("flows"), F.count_distinct("window_end").alias("windows"))
+    """One row: flows, windows, alerts, alerts a million flows, flows a second of traffic, and nearest-rank latencies."""
+    counts = flows.agg(F.count("*").alias("flows"), F.count_distinct("window_end").alias("windows"), (F.max("ts") - F.min("ts")).alias("_span"))
     lat = nearest_rank(alerts, "latency_ms", [0.5, 0.95, 0.99]).groupBy().pivot("p", [0.5, 0.95, 0.99]).agg(F.first("latency_ms"))
     named = lat.select(c("`0.5`").alias("p50_ms"), c("`0.95`").alias("p95_ms"), c("`0.99`").alias("p99_ms"))
-    return counts.crossJoin(F.broadcast(alerts.agg(F.count("*").alias("alerts")))).crossJoin(F.broadcast(named))  # one row each
+    met = counts.crossJoin(F.broadcast(alerts.agg(F.count("*").alias("alerts")))).crossJoin(F.broadcast(named))  # one row each
+    rates = {"alerts_per_million": c("alerts") * 1e6 / F.greatest("flows", F.lit(1)), "flows_per_second": F.when(c("_span") > 0, c("flows") / c("_span"))}
+    return met.withColumns(rates).drop("_span")

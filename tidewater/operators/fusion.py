@@ -64,12 +64,12 @@ def severity(base: Column, confidence: Column) -> Column:
 def alerts(detections: DataFrame, calibration: dict[str, tuple[list[float], list[float]]] | None = None, hosts: DataFrame | None = None, span: float = 300.0) -> DataFrame:
     """Suppress, dedupe, calibrate, grade and enrich."""
     kept = dedupe(suppress(detections, hosts) if hosts is not None else detections, span)
-    raw = F.round(F.greatest(F.least("score", F.lit(1.0)), F.lit(0.0)), 3)
-    kept = kept.withColumn("raw_score", raw).withColumn("confidence", F.round(calibrated(c("raw_score"), c("threat_class"), calibration or {}), 3))
+    raw = F.bround(F.greatest(F.least("score", F.lit(1.0)), F.lit(0.0)), 3)
+    kept = kept.withColumn("raw_score", raw).withColumn("confidence", F.bround(calibrated(c("raw_score"), c("threat_class"), calibration or {}), 3))
     met = kept.join(F.broadcast(threats(detections.sparkSession)), "threat_class")  # nine rows
     return met.select(
         alert_id(c("threat_class"), c("src_ip"), c("dst_ip"), c("window_end")).alias("alert_id"), "threat_class", severity(c("base_severity"), c("confidence")).alias("severity"), "confidence", "raw_score", "src_ip", "dst_ip",
-        "ts_event", c("window_end").alias("ts_emitted"), F.round((c("window_end") - c("ts_event")) * 1000, 1).alias("latency_ms"), "observed_flows", "technique", "technique_name", "tactic", "evidence", "detector", "model_version", "reverse_direction_visible", "caveat",
+        "ts_event", c("window_end").alias("ts_emitted"), F.bround((c("window_end") - c("ts_event")) * 1000, 1).alias("latency_ms"), "observed_flows", "technique", "technique_name", "tactic", "evidence", "detector", "model_version", "reverse_direction_visible", "caveat",
         *[x for x in ("ord",) if x in detections.columns],
     )
 
@@ -125,7 +125,7 @@ def incidents(alerts_: DataFrame, gap: float = 1800.0) -> DataFrame:
     each = parts.groupBy("entity", "part").agg(F.min("first").alias("first_seen"), F.max("first").alias("last_seen"), F.count("*").cast("int").alias("n_alerts"), F.array_sort(F.collect_set("threat_class")).alias("classes"), F.max("rank").cast("int").alias("worst"), F.max("confidence").alias("best"))
     final = each.withColumn("_last", F.max("part").over(Window.partitionBy("entity"))).where(c("part") == c("_last"))
     score = F.least(c("best") + 0.05 * (F.size("classes") - 1), F.lit(1.0))
-    return final.select("entity", "first_seen", "last_seen", "n_alerts", "classes", F.size("classes").alias("n_classes"), F.element_at(F.array(*[F.lit(s) for s in SEVERITIES]), c("worst")).alias("severity"), F.round(score, 3).alias("score"))
+    return final.select("entity", "first_seen", "last_seen", "n_alerts", "classes", F.size("classes").alias("n_classes"), F.element_at(F.array(*[F.lit(s) for s in SEVERITIES]), c("worst")).alias("severity"), F.bround(score, 3).alias("score"))
 
 
 def ranked(incidents_: DataFrame, classes: int = 1, limit: int | None = None) -> DataFrame:
@@ -142,15 +142,15 @@ def evict(incidents_: DataFrame, now: float, ttl: float = 3600.0, cap: int = 20_
 GENESIS = "0" * 64
 
 
-def chain(records: DataFrame, order: list[str], body: str) -> DataFrame:
-    """A hash chain over records in order: seq, body, prev_sha256, sha256 of ``prev|seq|body``.
+def chain(records: DataFrame, order: list[str], body: str, after: tuple[int, str] = (0, GENESIS)) -> DataFrame:
+    """A hash chain over records in order, on from ``after`` (last seq and hash): seq, body, prev_sha256, sha256 of ``prev|seq|body``.
 
     Each hash needs the one before, so a chain is sequential by definition: one ordered pass over all records, in memory
     bounded by a batch. Use one chain a partition (``order`` inside it) where a ledger must grow beyond a task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seq, last = 0, GENESIS
+        seq, last = after
         for batch in batches:
             bodies, before, digests, first = batch.column(0).to_pylist(), [], [], seq + 1
             for x in bodies:
@@ -164,6 +164,19 @@ def chain(records: DataFrame, order: list[str], body: str) -> DataFrame:
     return rows.mapInArrow(run, "seq long, body string, prev_sha256 string, sha256 string")
 
 
+def append(path: str, records: DataFrame, order: list[str], body: str) -> tuple[int, str]:
+    """Chain ``records`` on to the ledger kept at ``path`` (begun if there is none); the last seq and hash after that.
+
+    One writer at a time, as every record holds the hash of the one before.
+    """
+    spark = records.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    begun = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    last = tuple(resume(spark.read.parquet(path)).first()) if begun else (0, GENESIS)
+    chain(records, order, body, last).write.mode("append").parquet(path)
+    return tuple(resume(spark.read.parquet(path)).first())
+
+
 def verify(ledger: DataFrame) -> DataFrame:
     """One row: ok, n, and the first bad seq. Each record is checked against its neighbour by join, so in parallel."""
     before = ledger.select((c("seq") + 1).alias("seq"), c("sha256").alias("held"))

@@ -57,11 +57,11 @@ def scaler(df: DataFrame, features: list[str]) -> DataFrame:
     return df.agg(*[e for f in features for e in (F.avg(f).alias(f"mu_{f}"), F.when(sd(f) == 0, 1.0).otherwise(sd(f)).alias(f"sigma_{f}"))])
 
 
-def fit(df: DataFrame, features: list[str], label: str = "y", rate: float = 0.5, epochs: int = 600, l2: float = 1e-3, most_weight: float = 25.0) -> Logistic:
-    """Full-batch gradient descent with class weights.
+def fit(df: DataFrame, features: list[str], label: str = "y", rate: float = 0.5, epochs: int = 600, l2: float = 1e-3, most_weight: float = 25.0, sample: int = 200_000) -> Logistic:
+    """Full-batch gradient descent with class weights, on at most ``sample`` distinct labelled rows.
 
-    Rows are first reduced where they lie: equal standardised rows of a label become one weighted row, and if few remain
-    (``dense`` rows at most) the steps run on them at once; otherwise each step is one distributed sum of gradients.
+    Equal rows of a label become one weighted row where they lie. Of those, the ``sample`` least by a hash of their values
+    are fitted; means, deviations and class weights come from all rows.
     """
     s = scaler(df, features).first()
     mu = np.array([s[f"mu_{f}"] or 0.0 for f in features])
@@ -70,42 +70,14 @@ def fit(df: DataFrame, features: list[str], label: str = "y", rate: float = 0.5,
     pos, neg = counts.get(1, 0), counts.get(0, 0)
     weight = min(neg / pos, most_weight) if pos else 1.0
     rows = df.groupBy(F.col(label).cast("int").alias("y"), *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features]).agg(F.count("*").alias("n"))
-    w, b, dense = np.zeros(len(features)), 0.0, 200_000
-    total = max(pos * weight + neg, 1e-12)
-
-    def gradient(x: np.ndarray, y: np.ndarray, n: np.ndarray, w: np.ndarray, b: float) -> np.ndarray:
-        z = (x - mu) / sigma
-        error = (1 / (1 + np.exp(-np.clip(z @ w + b, -700, 700))) - y) * np.where(y == 1, weight, 1.0) * n
-        return np.append(error @ z, error.sum())
-
-    def arrays(t: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return np.stack([t.column(f).to_numpy(zero_copy_only=False) for f in features], 1), t.column("y").to_numpy(zero_copy_only=False).astype(float), t.column("n").to_numpy(zero_copy_only=False).astype(float)
-
-    small = rows.limit(dense + 1).count() <= dense
-    if small:
-        pdf = rows.toPandas().sort_values(["y", *features])
-        x, y, n = pdf[features].to_numpy(float), pdf["y"].to_numpy(float), pdf["n"].to_numpy(float)
-    else:
-        rows = rows.persist()
+    kept = rows.orderBy(F.xxhash64("y", *features), "y", *features).limit(sample).toPandas().sort_values(["y", *features])
+    z, y, n = (kept[features].to_numpy(float) - mu) / sigma, kept["y"].to_numpy(float), kept["n"].to_numpy(float)
+    n = n * np.where(y == 1, weight, 1.0)
+    w, b, total = np.zeros(len(features)), 0.0, max(n.sum(), 1e-12)
     for _ in range(epochs):
-        if small:
-            g = gradient(x, y, n, w, b)
-        else:
-            at_w, at_b = w.copy(), b
-
-            def part(batches: Iterator[pa.RecordBatch], at_w=at_w, at_b=at_b) -> Iterator[pa.RecordBatch]:
-                total_g = np.zeros(len(features) + 1)
-                for batch in batches:
-                    if batch.num_rows:
-                        total_g += gradient(*arrays(batch), at_w, at_b)
-                yield pa.RecordBatch.from_arrays([pa.array([total_g.tolist()], pa.list_(pa.float64()))], names=["g"])
-
-            sums = rows.mapInArrow(part, "g array<double>").agg(*[F.sum(F.col("g")[i]).alias(str(i)) for i in range(len(features) + 1)]).first()
-            g = np.array(list(sums))
-        b -= rate * g[-1] / total
-        w -= rate * (g[:-1] / total + l2 * w)
-    if not small:
-        rows.unpersist()
+        error = (1 / (1 + np.exp(-np.clip(z @ w + b, -700, 700))) - y) * n
+        b -= rate * error.sum() / total
+        w -= rate * (error @ z / total + l2 * w)
     return Logistic(tuple(features), tuple(map(float, w)), float(b), tuple(map(float, mu)), tuple(map(float, sigma)))
 
 

@@ -38,3 +38,15 @@ def realigned(flows: DataFrame, width: float = 60.0, idle: int = 10) -> DataFram
     origins = scan(ends.where("_bucket IS NOT NULL"), [], ["_bucket"], None, step, "_origin double", ["_lo", "_hi"]).select("_bucket", "_origin")
     met = flows.withColumn("_bucket", bucket).join(origins, "_bucket").drop("_bucket")
     return met.withColumn("window_end", F.col("_origin") + (F.floor((F.col("ts") - F.col("_origin")) / width) + 1) * width).drop("_origin")
+
+
+def closed_by(last: float, now: float, width: float = 60.0, idle: int = 10) -> tuple[list[float], float]:
+    """The ends that a clock without further flows closes by ``now``, and the end that is open then.
+
+    last: the open window's end. Every ended window is closed, with flows or without; after over ``idle`` widths of
+    silence only the open one, and the clock starts anew at ``now``.
+    """
+    if now - last > idle * width:
+        return [last], now + width
+    n = max(0, math.floor((now - last) / width) + 1)
+    return [last + i * width for i in range(n)], last + n * width

@@ -76,7 +76,7 @@ UNION ALL SELECT dn.*, CASE WHEN dn.window_end-dd.last>=172800 THEN dn.window_en
 _OF = {k: rest for k, *rest in DETECTORS}
 _THREATS = ", ".join(f"('{a}','{b}','{t}','{k}','{_OF[a][0]}','{_OF[a][1]}')" for a, b, t, _, k in THREATS)
 ALERTS = f"""{DETECTIONS}, th0(threat_class, base, technique, tactic, detector, model_version) AS (VALUES {_THREATS}), al0 AS (
-SELECT dd.*, base, technique, tactic, detector, model_version, round(greatest(least(score,1),0),3) AS raw FROM dd JOIN th0 ON dd.threat_class=th0.threat_class WHERE emit), al1 AS (
+SELECT dd.*, base, technique, tactic, detector, model_version, round_even(greatest(least(score,1),0),3) AS raw FROM dd JOIN th0 ON dd.threat_class=th0.threat_class WHERE emit), al1 AS (
 SELECT *, CASE threat_class WHEN 'encrypted_malware' THEN CASE WHEN raw>=0.75 THEN 0.92 WHEN raw>=0.65 THEN 0.7 ELSE 0.6 END WHEN 'ics_intrusion' THEN CASE WHEN raw>=0.8 THEN 0.95 ELSE 0.55 END ELSE raw END::DOUBLE AS confidence FROM al0), al AS (
 SELECT *, CASE WHEN confidence<0.6::DOUBLE AND base IN ('critical','high') THEN 'medium' WHEN confidence>0.9::DOUBLE AND base='medium' THEN 'high' ELSE base END AS severity FROM al1)"""
 INCIDENTS = f"""{ALERTS}, an AS (
@@ -85,7 +85,7 @@ SELECT src_ip, r, ts_event AS seen, 1 AS part FROM an WHERE r=1
 UNION ALL SELECT an.src_ip, an.r, CASE WHEN an.ts_event-inc.seen>518400 THEN an.ts_event ELSE greatest(inc.seen, an.ts_event) END, inc.part + CASE WHEN an.ts_event-inc.seen>518400 THEN 1 ELSE 0 END FROM inc JOIN an ON an.src_ip=inc.src_ip AND an.r=inc.r+1), fin AS (
 SELECT an.src_ip AS entity, inc.part, min(ts_event) AS first_seen, max(seen) AS last_seen, count(*) AS n_alerts, count(DISTINCT threat_class) AS n_classes, max(CASE severity WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 ELSE 4 END) AS sv, max(confidence) AS best
 FROM an JOIN inc ON an.src_ip=inc.src_ip AND an.r=inc.r GROUP BY ALL), ii AS (
-SELECT *, round(least(best + 0.05::DOUBLE*(n_classes-1),1),3) AS score FROM fin QUALIFY part = max(part) OVER (PARTITION BY entity))"""
+SELECT *, round_even(least(best + 0.05::DOUBLE*(n_classes-1),1),3) AS score FROM fin QUALIFY part = max(part) OVER (PARTITION BY entity))"""
 LEDGER = f"""{FE}, lb AS (SELECT row_number() OVER (ORDER BY seq) AS seq, concat_ws('/',src_ip,dst_ip,CAST(bytes_out AS VARCHAR)) AS body FROM fe), lg AS (
 SELECT seq, body, repeat('0',64) AS prev_sha256, sha256(concat(repeat('0',64),'|',CAST(seq AS VARCHAR),'|',body)) AS sha256 FROM lb WHERE seq=1
 UNION ALL SELECT lb.seq, lb.body, lg.sha256, sha256(concat(lg.sha256,'|',CAST(lb.seq AS VARCHAR),'|',lb.body)) FROM lg JOIN lb ON lb.seq=lg.seq+1)"""

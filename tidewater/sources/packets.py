@@ -119,8 +119,13 @@ class Reader:
     def part(self, n: int) -> Reader:
         return Reader(self.take(self.num(n)))
 
-    def more(self) -> bool:
-        return self.at < len(self.raw)
+    def more(self, n: int = 1) -> bool:
+        return self.at + n <= len(self.raw)
+
+    def some(self, n: int) -> Reader:
+        """The next n bytes, or as many as there are."""
+        begin, self.at = self.at, min(self.at + n, len(self.raw))
+        return Reader(self.raw[begin : self.at])
 
 
 def safe(parse):
@@ -161,6 +166,38 @@ def network_layer(link: int, frame: bytes) -> bytes | None:
     return packet if kind == 0x0800 and packet and packet[0] >> 4 == 4 else None
 
 
+def versions(frames: DataFrame) -> DataFrame:
+    """(version, n): frames (linktype, data) that carry IPv4, IPv6 (known, but not decoded further) or anything else."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for link, frame in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found.append("ipv4" if network_layer(link, frame or b"") else "ipv6" if _is_ipv6(link, frame or b"") else "other")
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["version"])
+
+    return frames.select("linktype", "data").mapInArrow(run, "version string").groupBy("version").agg(F.count("*").alias("n"))
+
+
+@safe
+def _is_ipv6(link: int, frame: bytes) -> bool | None:
+    """Whether a frame of any of the known link layers says that it carries IPv6, and its first bits agree."""
+    r, at = Reader(frame), {113: 14, 276: 0, 1: 12}
+    if link in at:
+        r.take(at[link])
+        kind = r.num(2)
+        while link == 1 and kind in (0x8100, 0x88A8, 0x9100):
+            r.take(2)
+            kind = r.num(2)
+        if link == 276:
+            r.take(18)
+        return kind == 0x86DD and frame[r.at] >> 4 == 6
+    if link == 0:  # loopback: the family's number differs by system
+        family = r.num(4)
+        return {family, int.from_bytes(frame[:4], "little")} & {10, 23, 24, 28, 30} != set() and frame[4] >> 4 == 6
+    return link in (101, 12, 229) and frame[0] >> 4 == 6
+
+
 @safe
 def ip_parts(packet: bytes) -> tuple[str, str, int, bytes, int]:
     """(source, destination, protocol, payload, declared length)."""
@@ -211,26 +248,30 @@ def hello_fields(r: Reader, transport: str) -> dict:
     ciphers = words(r.part(2))
     r.part(1)
     kinds, name, curves, points, signatures, alpn, offered = [], None, [], [], [], [], []
-    rest = r.part(2) if r.more() else Reader(b"")
-    while rest.more():
+    rest = r.some(r.num(2)) if r.more(2) else Reader(b"")
+    while rest.more(4):  # what a short capture cut off is missing; what is whole counts
         kind = rest.num(2)
-        body = rest.part(2)
+        body = rest.some(rest.num(2))
+        if kind in GREASE:
+            continue
         kinds.append(kind)
-        if kind == 0 and body.more():
+        if kind == 0 and body.more(5):
             body.take(3)
-            name = body.part(2).raw.decode("ascii")
-        elif kind == 10:
+            name = body.some(body.num(2)).raw.decode("ascii", "replace")
+        elif kind == 10 and body.more(2):
             curves = words(body.part(2))
-        elif kind == 11:
-            points = list(body.part(1).raw)
-        elif kind == 13:
-            signatures = words(body.part(2))
-        elif kind == 16:
-            each = body.part(2)
-            while each.more():
-                alpn.append(each.part(1).raw.decode("latin-1"))
-        elif kind == 43:
-            offered = words(body.part(1))
+        elif kind == 11 and body.more():
+            points = list(body.some(body.num(1)).raw)
+        elif kind == 13 and body.more(2):
+            signatures = words(body.some(body.num(2)))
+        elif kind == 16 and body.more(3):
+            body.take(2)
+            while body.more():
+                alpn.append(body.some(body.num(1)).raw.decode("ascii", "replace"))
+        elif kind == 43 and body.more():
+            body.take(1)
+            while body.more(2):
+                offered.append(body.num(2))
     plain = lambda xs: [x for x in xs if x not in GREASE]
     dashed = ["-".join(map(str, xs)) for xs in (plain(ciphers), plain(kinds), plain(curves), points)]
     ja3 = hashlib.md5(",".join([str(version), *dashed]).encode(), usedforsecurity=False).hexdigest()

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import fusion as N
 from ..operators.detectors import Recon
 
 c = F.col
@@ -59,3 +61,27 @@ def emit_once(alerts: DataFrame, span: float = 300.0, ttl: str = "1 hour") -> Da
 
     keys = alerts.select("threat_class", "src_ip", "dst_ip", "window_end", "score").groupBy("threat_class", "src_ip", "dst_ip")
     return keys.applyInPandasWithState(step, "threat_class string, src_ip string, dst_ip string, window_end double, score double", "last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def to_ledger(alerts: DataFrame, path: str, order: list[str], body: str, on_alert: Callable[[dict], None] | None = None) -> DataStreamWriter:
+    """A writer that chains each trigger's alerts on to the ledger at ``path``, and tells ``on_alert`` of each.
+
+    Each trigger has its own folder, which a trigger that is run again after a failure overwrites, so nothing is chained
+    twice; it may be told twice. ``on_alert`` is called on the driver, one alert at a time.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        last = (0, N.GENESIS)
+        if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+            last = tuple(N.resume(spark.read.parquet(path).where(c("trigger") < number)).first())
+        kept = batch.persist()
+        if not kept.isEmpty():
+            N.chain(kept, order, body, last).write.mode("overwrite").parquet(f"{path}/trigger={number}")
+            if on_alert:
+                for row in kept.orderBy(*order).toLocalIterator():
+                    on_alert(row.asDict())
+        kept.unpersist()
+
+    return alerts.writeStream.foreachBatch(each)
