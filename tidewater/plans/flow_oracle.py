@@ -66,10 +66,50 @@ SELECT window_end, src_ip, CAST(sum(n) AS BIGINT) AS observed_flows, count(*) AS
  arg_max(dst_ip, n*1000000 + CAST(split_part(dst_ip,'.',4) AS INT)) AS dst_ip FROM ip GROUP BY ALL), iz AS (
 SELECT ig.*, funcs, least((CASE WHEN len(funcs)>=3 THEN least(len(funcs)/7::DOUBLE,1)*0.62::DOUBLE ELSE 0 END) + CASE WHEN unauthorised>0 THEN 0.55::DOUBLE ELSE 0 END + CASE WHEN illegal>0 THEN 0.40::DOUBLE ELSE 0 END + CASE WHEN controllers>=3 AND writes>0 THEN 0.15::DOUBLE ELSE 0 END, 1) AS score
 FROM ig JOIN ifn ON ig.window_end=ifn.window_end AND ig.src_ip=ifn.src_ip)"""
-DETECTIONS = f"""{RECON}, {TLS.replace(DAILY + ', ', '')}, {ICS}, det AS (
+GAPS = f"{FE}, g AS (SELECT * FROM (SELECT src_ip, ts, seq, ts - lag(ts) OVER (PARTITION BY src_ip ORDER BY ts, seq) AS gap FROM fe) z WHERE gap IS NOT NULL)"
+LEX = f"{FQ}, lx AS (SELECT seq, dns_qname, string_split(dns_qname,'.')[1] AS first, regexp_replace(string_split(dns_qname,'.')[1],'[^\\p{{L}}\\p{{N}}]','','g') AS body, len(list_filter(string_split(dns_qname,'.'), lambda x: x<>'')) AS n_labels FROM fq), le AS (SELECT seq, entropy(ch) AS entropy FROM (SELECT seq, unnest(string_split(body,'')) AS ch FROM lx) z GROUP BY seq)"
+PAIRS = f"{FQ}, nm AS (SELECT seq, concat('^',regexp_replace(lower(dns_qname),'[^\\p{{L}}\\p{{N}}]','','g'),'$') AS m, concat('^',lower(dns_qname),'$') AS raw FROM fq), pr AS (SELECT substr(m,i,2) AS pair, count(*) AS n FROM (SELECT m, unnest(range(1,len(m))) AS i FROM nm) z GROUP BY ALL), tb AS (SELECT pair, ln((n+1)/((SELECT sum(n) FROM pr)+1444)::DOUBLE) AS logp FROM pr UNION ALL SELECT '__default__', ln(1/((SELECT sum(n) FROM pr)+1444)::DOUBLE))"
+_VECTOR = ["log10(bytes_out+1.0::DOUBLE)", "log10(bytes_in+1.0::DOUBLE)", "log10(bytes_out/greatest(bytes_in,1)::DOUBLE+0.01::DOUBLE)", "log10(duration+0.01::DOUBLE)", "log10(pkts_out+1.0::DOUBLE)", "log10(pkts_in+1.0::DOUBLE)", "syn", "synack", "rst", "fin", "CASE WHEN proto='udp' THEN 1 ELSE 0 END", "0", *[f"CASE WHEN dst_port={p} THEN 1 ELSE 0 END" for p in MARKED_PORTS]]
+FLOOD = f"""{DAILY}, fd AS (
+SELECT window_end, dst_ip, count(*) AS n, count(DISTINCT src_ip) AS sources, entropy(src_ip) AS entropy, count(*) FILTER (proto='udp') AS udp, CAST(0 AS BIGINT) AS reflections, min(ts) AS ts_event,
+ CASE WHEN count(*) FILTER (proto='tcp') >= 0.5*count(*) THEN coalesce(sum(synack) FILTER (proto='tcp'),0)/greatest(coalesce(sum(syn) FILTER (proto='tcp'),0),1)::DOUBLE END AS completion
+FROM w WHERE syn>0 OR proto='udp' GROUP BY ALL)"""
+BEACON = f"""{FE}, {windowed('fe', 864000, 'wb')}, bh AS (SELECT * FROM wb WHERE proto='tcp' AND syn>0), bl AS (SELECT max(window_end) AS last FROM bh), bs AS (
+SELECT bh.*, window_end + i*864000::DOUBLE AS wat FROM bh, bl, range(0,3) r(i) WHERE i <= floor((ts+2592000-window_end)/864000) AND i <= round((last-window_end)/864000)), bz AS (
+SELECT *, count(*) OVER (PARTITION BY src_ip,dst_ip,wat) AS n_events, ts - lag(ts) OVER (PARTITION BY src_ip,dst_ip,wat ORDER BY ts, seq) AS gap FROM bs), ba AS (
+SELECT src_ip, dst_ip, wat, count(*) AS n_events, avg(gap) AS m, stddev_samp(gap) AS sd, median(gap) AS med, mad(gap) AS mad, avg(bytes_out) AS bm, stddev_samp(bytes_out) AS bsd, max(ts) AS ts_event FROM bz WHERE n_events>=4 GROUP BY ALL), bp AS (
+SELECT a.dst_ip, a.wat, count(*) AS dst_prevalence FROM (SELECT DISTINCT dst_ip, wat FROM ba) a JOIN (SELECT dst_ip, src_ip, min(window_end) AS f FROM bh GROUP BY ALL) b ON a.dst_ip=b.dst_ip AND b.f<=a.wat GROUP BY ALL), bc AS (
+SELECT ba.*, dst_prevalence, CASE WHEN m>0 THEN coalesce(sd,0)/m ELSE 0 END AS cv, mad/CASE WHEN med=0 THEN 1 ELSE med END AS mr, CASE WHEN bm>0 THEN coalesce(bsd,0)/bm ELSE 0 END AS bcv FROM ba JOIN bp ON ba.dst_ip=bp.dst_ip AND ba.wat=bp.wat)"""
+EXFIL = f"""{FL}, {windowed('fl', 2592000, 'wx')}, xd AS (
+SELECT window_end, src_ip, dst_ip, CAST(sum(bytes_out) AS BIGINT) AS up, CAST(sum(bytes_in) AS BIGINT) AS down, count(*) AS n, min((ts, seq)) AS first, min(ts) AS t0 FROM wx GROUP BY ALL), xn AS (
+SELECT *, min(window_end) OVER (PARTITION BY src_ip, dst_ip)=window_end AS novel, row_number() OVER (PARTITION BY window_end, src_ip ORDER BY up DESC, first, dst_ip DESC) AS rk FROM xd), xs AS (
+SELECT window_end, src_ip, CAST(sum(up) AS BIGINT) AS up, CAST(sum(down) AS BIGINT) AS down, CAST(sum(n) AS BIGINT) AS n, sum(up)/greatest(sum(down),1)::DOUBLE AS ratio, max(dst_ip) FILTER (rk=1) AS dst_ip, max(up) FILTER (rk=1) AS top_up, bool_or(novel) FILTER (rk=1) AS novel, min(t0) AS ts_event FROM xn GROUP BY ALL), xr AS (
+SELECT *, row_number() OVER (PARTITION BY src_ip ORDER BY window_end) AS rn FROM xs), xe AS (
+SELECT src_ip, rn, NULL::DOUBLE AS base, ratio AS after FROM xr WHERE rn=1 UNION ALL SELECT xr.src_ip, xr.rn, xe.after, (1-0.25::DOUBLE)*xe.after + 0.25::DOUBLE*xr.ratio FROM xe JOIN xr ON xr.src_ip=xe.src_ip AND xr.rn=xe.rn+1), xf AS (
+SELECT xr.*, base, least(ratio,50) AS oir, least(ratio/greatest(base,0.2::DOUBLE),30) AS dev, {PRIVATE.format('dst_ip')} AS pv FROM xr JOIN xe ON xr.src_ip=xe.src_ip AND xr.rn=xe.rn WHERE base IS NOT NULL AND up>=200000)"""
+EWMA = """fr AS (SELECT *, row_number() OVER (PARTITION BY dst_ip ORDER BY window_end) AS rn FROM fd), ft AS (
+SELECT dst_ip, rn, 0.0::DOUBLE AS base, NULL::DOUBLE AS score, 0.0::DOUBLE AS after FROM (SELECT DISTINCT dst_ip, 0 AS rn FROM fr) z
+UNION ALL SELECT dst_ip, rn, base, score, CASE WHEN score>=0.35::DOUBLE THEN base ELSE 0.8::DOUBLE*base+(1-0.8::DOUBLE)*n END FROM (
+SELECT fr.dst_ip, fr.rn, fr.n, ft.after AS base, CASE WHEN fr.n>=12 THEN least(CASE WHEN entropy>=3 THEN least((entropy-3)/4,1)*0.45::DOUBLE ELSE 0 END
+ + CASE WHEN completion IS NULL THEN least(greatest(fr.n/greatest(ft.after,1)-5,0)/10,1)*0.35::DOUBLE WHEN completion<=0.9::DOUBLE THEN (1-completion/0.9::DOUBLE)*0.35::DOUBLE ELSE 0 END
+ + CASE WHEN fr.n/greatest(ft.after,1)>3 THEN least((fr.n/greatest(ft.after,1)-3)/10,1)*0.20::DOUBLE ELSE 0 END, 1) END AS score FROM ft JOIN fr ON fr.dst_ip=ft.dst_ip AND fr.rn=ft.rn+1) q)"""
+BEACON_SCORE = "least(CASE WHEN cv<0.45 THEN (1-cv/0.45::DOUBLE)*0.5::DOUBLE ELSE 0 END+CASE WHEN mr<0.35 THEN (1-mr/0.35::DOUBLE)*0.25::DOUBLE ELSE 0 END+CASE WHEN bcv<0.25 THEN (1-bcv/0.25::DOUBLE)*0.25::DOUBLE ELSE 0 END,1)*CASE WHEN dst_prevalence>=3 THEN 0.25::DOUBLE ELSE 1 END"
+EXFIL_SCORE = "least(CASE WHEN oir>3 THEN least(oir/20,1)*0.40::DOUBLE ELSE 0 END+CASE WHEN dev>3 THEN least((dev-3)/8,1)*0.30::DOUBLE ELSE 0 END+CASE WHEN novel THEN 0.20::DOUBLE ELSE 0 END+CASE WHEN up>5000000 THEN 0.10::DOUBLE ELSE 0 END,0.82::DOUBLE)"
+DGA = """ns AS (SELECT fq.*, (CASE WHEN entropy>3.2 THEN 0.4 ELSE 0 END + CASE WHEN len(regexp_replace(body,'[^aeiou]','','g'))/greatest(len(body),1)::DOUBLE<0.30::DOUBLE THEN 0.3 ELSE 0 END + CASE WHEN coalesce(list_max(list_transform(regexp_extract_all(body,'[b-df-hj-np-tv-zA-Z]+'), lambda x: len(x))),0)>=4 THEN 0.3 ELSE 0 END)::DOUBLE AS sc FROM fq JOIN lx ON fq.seq=lx.seq JOIN le ON fq.seq=le.seq WHERE fq.dns_qname<>''), h AS (
+SELECT src_ip, min(dst_ip) AS dst_ip, min(seq)::DOUBLE AS ts_event, count(*) AS observed_flows, avg(CASE WHEN sc>0.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS suspicious, avg(CASE WHEN dns_rcode='NXDOMAIN' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS nx, avg(sc) AS mean_score, array_to_string(list_slice(list(dns_qname ORDER BY sc DESC, seq),1,3),',') AS examples FROM ns GROUP BY src_ip HAVING count(*)>=8)"""
+DGA_SCORE = "least(0.55::DOUBLE*suspicious+0.45::DOUBLE*least(nx*1.6::DOUBLE,1),1)"
+TUNNEL = """l AS (SELECT *, regexp_extract(dns_qname,'([^.]+\\.[^.]+)$',1) AS parent FROM fq WHERE dns_qname<>''), a AS (
+SELECT src_ip, parent, min(seq)::DOUBLE AS ts_event, count(*) AS observed_flows, count(DISTINCT dns_qname) AS unique_names, CAST(sum(bytes_out) AS BIGINT) AS bytes_up, CAST(sum(bytes_in) AS BIGINT) AS bytes_down, avg(CASE WHEN len(dns_qname)>=20 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS lr, avg(CASE WHEN dns_qtype IN ('TXT','NULL','CNAME') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS tr, count(DISTINCT dns_qname)/count(*)::DOUBLE AS ur, avg(len(dns_qname)) AS ml FROM l GROUP BY ALL HAVING count(*)>=3)"""
+TUNNEL_SCORE = "least(0.40::DOUBLE*lr+0.25::DOUBLE*tr+0.20::DOUBLE*ur+CASE WHEN observed_flows>10 THEN 0.15::DOUBLE ELSE 0 END,1)"
+DETECTIONS = f"""{RECON}, {TLS.replace(DAILY + ', ', '')}, {ICS}, {FLOOD.replace(DAILY + ', ', '')}, {EWMA}, {BEACON.replace(FE + ', ', '')}, {LEX}, {DGA}, {TUNNEL}, {EXFIL}, det AS (
 SELECT window_end, 'recon_scanning' AS threat_class, src_ip, concat(CAST(hosts AS VARCHAR),' hosts') AS dst_ip, score, ts_event, reverse_visible, CASE WHEN NOT reverse_visible THEN '{CAVEATS['one_way_scan']}' END AS caveat FROM rc WHERE score>=0.2
 UNION ALL SELECT window_end, 'encrypted_malware', src_ip, dst_ip, score, ts_event, true, CASE WHEN cert_seen THEN '{CAVEATS['metadata']}' ELSE '{CAVEATS['client_side']}' END FROM tz WHERE score>=0.55
-UNION ALL SELECT window_end, 'ics_intrusion', src_ip, dst_ip, score, ts_event, true, '{CAVEATS['commands']}' FROM iz WHERE score>=0.55), dn AS (
+UNION ALL SELECT window_end, 'ics_intrusion', src_ip, dst_ip, score, ts_event, true, '{CAVEATS['commands']}' FROM iz WHERE score>=0.55
+UNION ALL SELECT fr.window_end, 'volumetric_ddos', concat(CAST(sources AS VARCHAR),' sources'), fr.dst_ip, score, ts_event, true, NULL FROM ft JOIN fr ON ft.dst_ip=fr.dst_ip AND ft.rn=fr.rn WHERE score>=0.35::DOUBLE
+UNION ALL SELECT wat, 'c2_beaconing', src_ip, dst_ip, {BEACON_SCORE}, ts_event, true, NULL FROM bc WHERE {BEACON_SCORE}>=0.05::DOUBLE
+UNION ALL SELECT (SELECT min(seq) FROM fq)+1000000::DOUBLE, 'dga_resolution', src_ip, dst_ip, {DGA_SCORE}, ts_event, true, NULL FROM h WHERE {DGA_SCORE}>=0.3::DOUBLE
+UNION ALL SELECT (SELECT min(seq) FROM fq)+1000000::DOUBLE, 'dns_tunnelling', src_ip, parent, {TUNNEL_SCORE}, ts_event, true, NULL FROM a WHERE {TUNNEL_SCORE}>=0.3::DOUBLE
+UNION ALL SELECT window_end, 'data_exfiltration', src_ip, dst_ip, {EXFIL_SCORE}, ts_event, true, '{CAVEATS['lead']}' FROM xf WHERE {EXFIL_SCORE}>=0.3::DOUBLE), dn AS (
 SELECT *, row_number() OVER (PARTITION BY threat_class, src_ip, dst_ip ORDER BY window_end) AS rn FROM det), dd AS (
 SELECT *, window_end AS last, true AS emit FROM dn WHERE rn=1
 UNION ALL SELECT dn.*, CASE WHEN dn.window_end-dd.last>=172800 THEN dn.window_end ELSE dd.last END, dn.window_end-dd.last>=172800 FROM dd JOIN dn ON dn.threat_class=dd.threat_class AND dn.src_ip=dd.src_ip AND dn.dst_ip=dd.dst_ip AND dn.rn=dd.rn+1)"""
@@ -89,27 +129,6 @@ SELECT *, round_even(least(best + 0.05::DOUBLE*(n_classes-1),1),3) AS score FROM
 LEDGER = f"""{FE}, lb AS (SELECT row_number() OVER (ORDER BY seq) AS seq, concat_ws('/',src_ip,dst_ip,CAST(bytes_out AS VARCHAR)) AS body FROM fe), lg AS (
 SELECT seq, body, repeat('0',64) AS prev_sha256, sha256(concat(repeat('0',64),'|',CAST(seq AS VARCHAR),'|',body)) AS sha256 FROM lb WHERE seq=1
 UNION ALL SELECT lb.seq, lb.body, lg.sha256, sha256(concat(lg.sha256,'|',CAST(lb.seq AS VARCHAR),'|',lb.body)) FROM lg JOIN lb ON lb.seq=lg.seq+1)"""
-GAPS = f"{FE}, g AS (SELECT * FROM (SELECT src_ip, ts, seq, ts - lag(ts) OVER (PARTITION BY src_ip ORDER BY ts, seq) AS gap FROM fe) z WHERE gap IS NOT NULL)"
-LEX = f"{FQ}, lx AS (SELECT seq, dns_qname, string_split(dns_qname,'.')[1] AS first, regexp_replace(string_split(dns_qname,'.')[1],'[^\\p{{L}}\\p{{N}}]','','g') AS body, len(list_filter(string_split(dns_qname,'.'), lambda x: x<>'')) AS n_labels FROM fq), le AS (SELECT seq, entropy(ch) AS entropy FROM (SELECT seq, unnest(string_split(body,'')) AS ch FROM lx) z GROUP BY seq)"
-PAIRS = f"{FQ}, nm AS (SELECT seq, concat('^',regexp_replace(lower(dns_qname),'[^\\p{{L}}\\p{{N}}]','','g'),'$') AS m, concat('^',lower(dns_qname),'$') AS raw FROM fq), pr AS (SELECT substr(m,i,2) AS pair, count(*) AS n FROM (SELECT m, unnest(range(1,len(m))) AS i FROM nm) z GROUP BY ALL), tb AS (SELECT pair, ln((n+1)/((SELECT sum(n) FROM pr)+1444)::DOUBLE) AS logp FROM pr UNION ALL SELECT '__default__', ln(1/((SELECT sum(n) FROM pr)+1444)::DOUBLE))"
-_VECTOR = ["log10(bytes_out+1.0::DOUBLE)", "log10(bytes_in+1.0::DOUBLE)", "log10(bytes_out/greatest(bytes_in,1)::DOUBLE+0.01::DOUBLE)", "log10(duration+0.01::DOUBLE)", "log10(pkts_out+1.0::DOUBLE)", "log10(pkts_in+1.0::DOUBLE)", "syn", "synack", "rst", "fin", "CASE WHEN proto='udp' THEN 1 ELSE 0 END", "0", *[f"CASE WHEN dst_port={p} THEN 1 ELSE 0 END" for p in MARKED_PORTS]]
-FLOOD = f"""{DAILY}, fd AS (
-SELECT window_end, dst_ip, count(*) AS n, count(DISTINCT src_ip) AS sources, entropy(src_ip) AS entropy, count(*) FILTER (proto='udp') AS udp, CAST(0 AS BIGINT) AS reflections, min(ts) AS ts_event,
- CASE WHEN count(*) FILTER (proto='tcp') >= 0.5*count(*) THEN coalesce(sum(synack) FILTER (proto='tcp'),0)/greatest(coalesce(sum(syn) FILTER (proto='tcp'),0),1)::DOUBLE END AS completion
-FROM w WHERE syn>0 OR proto='udp' GROUP BY ALL)"""
-BEACON = f"""{FE}, {windowed('fe', 864000)}, bh AS (SELECT * FROM w WHERE proto='tcp' AND syn>0), bl AS (SELECT max(window_end) AS last FROM bh), bs AS (
-SELECT bh.*, window_end + i*864000::DOUBLE AS wat FROM bh, bl, range(0,3) r(i) WHERE i <= floor((ts+2592000-window_end)/864000) AND i <= round((last-window_end)/864000)), bz AS (
-SELECT *, count(*) OVER (PARTITION BY src_ip,dst_ip,wat) AS n_events, ts - lag(ts) OVER (PARTITION BY src_ip,dst_ip,wat ORDER BY ts, seq) AS gap FROM bs), ba AS (
-SELECT src_ip, dst_ip, wat, count(*) AS n_events, avg(gap) AS m, stddev_samp(gap) AS sd, median(gap) AS med, mad(gap) AS mad, avg(bytes_out) AS bm, stddev_samp(bytes_out) AS bsd, max_by(tls_sni IS NULL, ts) AS nosni FROM bz WHERE n_events>=4 GROUP BY ALL), bp AS (
-SELECT a.dst_ip, a.wat, count(*) AS dst_prevalence FROM (SELECT DISTINCT dst_ip, wat FROM ba) a JOIN (SELECT dst_ip, src_ip, min(window_end) AS f FROM bh GROUP BY ALL) b ON a.dst_ip=b.dst_ip AND b.f<=a.wat GROUP BY ALL), bc AS (
-SELECT ba.*, dst_prevalence, CASE WHEN m>0 THEN coalesce(sd,0)/m ELSE 0 END AS cv, mad/CASE WHEN med=0 THEN 1 ELSE med END AS mr, CASE WHEN bm>0 THEN coalesce(bsd,0)/bm ELSE 0 END AS bcv FROM ba JOIN bp ON ba.dst_ip=bp.dst_ip AND ba.wat=bp.wat)"""
-EXFIL = f"""{FL}, {windowed('fl', 2592000)}, xd AS (
-SELECT window_end, src_ip, dst_ip, CAST(sum(bytes_out) AS BIGINT) AS up, CAST(sum(bytes_in) AS BIGINT) AS down, count(*) AS n, min((ts, seq)) AS first FROM w GROUP BY ALL), xn AS (
-SELECT *, min(window_end) OVER (PARTITION BY src_ip, dst_ip)=window_end AS novel, row_number() OVER (PARTITION BY window_end, src_ip ORDER BY up DESC, first, dst_ip DESC) AS rk FROM xd), xs AS (
-SELECT window_end, src_ip, CAST(sum(up) AS BIGINT) AS up, CAST(sum(down) AS BIGINT) AS down, CAST(sum(n) AS BIGINT) AS n, sum(up)/greatest(sum(down),1)::DOUBLE AS ratio, max(dst_ip) FILTER (rk=1) AS dst_ip, max(up) FILTER (rk=1) AS top_up, bool_or(novel) FILTER (rk=1) AS novel FROM xn GROUP BY ALL), xr AS (
-SELECT *, row_number() OVER (PARTITION BY src_ip ORDER BY window_end) AS rn FROM xs), xe AS (
-SELECT src_ip, rn, NULL::DOUBLE AS base, ratio AS after FROM xr WHERE rn=1 UNION ALL SELECT xr.src_ip, xr.rn, xe.after, (1-0.25::DOUBLE)*xe.after + 0.25::DOUBLE*xr.ratio FROM xe JOIN xr ON xr.src_ip=xe.src_ip AND xr.rn=xe.rn+1), xf AS (
-SELECT xr.*, base, least(ratio,50) AS oir, least(ratio/greatest(base,0.2::DOUBLE),30) AS dev, {PRIVATE.format('dst_ip')} AS pv FROM xr JOIN xe ON xr.src_ip=xe.src_ip AND xr.rn=xe.rn WHERE base IS NOT NULL AND up>=200000)"""
 _SERVICE = ", ".join(f"('{d}')" for d in SERVICE_DOMAINS)
 Z = "((bytes_out-9000::DOUBLE)/5000)*0.8::DOUBLE", "((bytes_in-50000::DOUBLE)/30000)*-0.5::DOUBLE", "((duration-5::DOUBLE)/3)*1.1::DOUBLE"
 
@@ -135,24 +154,17 @@ ORACLE = {
     "nearest_rank_pct": f"WITH {FE}, s AS (SELECT bytes_out, row_number() OVER (ORDER BY bytes_out)-1 AS i, count(*) OVER () AS n FROM fe) SELECT p::DOUBLE AS p, bytes_out FROM s, (VALUES (0.5),(0.95),(0.99)) v(p) WHERE i=least(CAST(round_even(p::DOUBLE*(n-1),0) AS BIGINT),n-1)",
     "floor_pct_envelope": f"WITH {FE}, s AS (SELECT bytes_out, row_number() OVER (ORDER BY bytes_out)-1 AS i, count(*) OVER () AS n FROM fe) SELECT p::DOUBLE AS p, bytes_out FROM s, (VALUES (0.001),(0.01),(0.99),(0.999)) v(p) WHERE i=least(CAST(floor(n*p::DOUBLE) AS BIGINT),n-1)",
     "ddos_windows": f"WITH {FLOOD} SELECT round(window_end,6) AS window_end, round(entropy,6) AS entropy, round(completion,6) AS completion, round(ts_event,6) AS ts_event, dst_ip, n, sources, udp, reflections FROM fd",
-    "ddos_ewma_freeze": f"""WITH RECURSIVE {FLOOD}, fr AS (SELECT *, row_number() OVER (PARTITION BY dst_ip ORDER BY window_end) AS rn FROM fd), ft AS (
-SELECT dst_ip, rn, 0.0::DOUBLE AS base, NULL::DOUBLE AS score, 0.0::DOUBLE AS after FROM (SELECT DISTINCT dst_ip, 0 AS rn FROM fr) z
-UNION ALL SELECT dst_ip, rn, base, score, CASE WHEN score>=0.35::DOUBLE THEN base ELSE 0.8::DOUBLE*base+(1-0.8::DOUBLE)*n END FROM (
-SELECT fr.dst_ip, fr.rn, fr.n, ft.after AS base, CASE WHEN fr.n>=12 THEN least(CASE WHEN entropy>=3 THEN least((entropy-3)/4,1)*0.45::DOUBLE ELSE 0 END
- + CASE WHEN completion IS NULL THEN least(greatest(fr.n/greatest(ft.after,1)-5,0)/10,1)*0.35::DOUBLE WHEN completion<=0.9::DOUBLE THEN (1-completion/0.9::DOUBLE)*0.35::DOUBLE ELSE 0 END
- + CASE WHEN fr.n/greatest(ft.after,1)>3 THEN least((fr.n/greatest(ft.after,1)-3)/10,1)*0.20::DOUBLE ELSE 0 END, 1) END AS score FROM ft JOIN fr ON fr.dst_ip=ft.dst_ip AND fr.rn=ft.rn+1) q)
+    "ddos_ewma_freeze": f"""WITH RECURSIVE {FLOOD}, {EWMA}
 SELECT round(fr.window_end,6) AS window_end, round(ft.base,6) AS base, round(ft.score,6) AS score, fr.dst_ip, fr.n FROM ft JOIN fr ON ft.dst_ip=fr.dst_ip AND ft.rn=fr.rn""",
-    "beacon_pairs": f"WITH {BEACON} SELECT src_ip, dst_ip, round(wat,3) AS window_end, n_events, dst_prevalence, round(cv,4) AS interval_cv, round(mr,4) AS mad_ratio, round(bcv,4) AS byte_cv, round(1/(1+greatest(cv,0)),4) AS regularity, round(exp(-pow((cv-0.16::DOUBLE)/0.13::DOUBLE,2)),4) AS jitter_band, CASE WHEN {PRIVATE.format('dst_ip')} THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS dst_external, round(least(CASE WHEN cv<0.45 THEN (1-cv/0.45::DOUBLE)*0.5::DOUBLE ELSE 0 END+CASE WHEN mr<0.35 THEN (1-mr/0.35::DOUBLE)*0.25::DOUBLE ELSE 0 END+CASE WHEN bcv<0.25 THEN (1-bcv/0.25::DOUBLE)*0.25::DOUBLE ELSE 0 END,1)*CASE WHEN dst_prevalence>=3 THEN 0.25::DOUBLE ELSE 1 END,4) AS score FROM bc",
-    "dga_hosts": f"""WITH {LEX}, ns AS (SELECT fq.*, (CASE WHEN entropy>3.2 THEN 0.4 ELSE 0 END + CASE WHEN len(regexp_replace(body,'[^aeiou]','','g'))/greatest(len(body),1)::DOUBLE<0.30::DOUBLE THEN 0.3 ELSE 0 END + CASE WHEN coalesce(list_max(list_transform(regexp_extract_all(body,'[b-df-hj-np-tv-zA-Z]+'), lambda x: len(x))),0)>=4 THEN 0.3 ELSE 0 END)::DOUBLE AS sc FROM fq JOIN lx ON fq.seq=lx.seq JOIN le ON fq.seq=le.seq WHERE fq.dns_qname<>''), h AS (
-SELECT src_ip, min(dst_ip) AS dst_ip, count(*) AS observed_flows, avg(CASE WHEN sc>0.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS suspicious, avg(CASE WHEN dns_rcode='NXDOMAIN' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS nx, avg(sc) AS mean_score, array_to_string(list_slice(list(dns_qname ORDER BY sc DESC, seq),1,3),',') AS examples FROM ns GROUP BY src_ip HAVING count(*)>=8)
-SELECT src_ip, dst_ip, observed_flows, round(suspicious,6) AS suspicious, round(nx,6) AS nx, round(mean_score,6) AS mean_score, round(least(0.55::DOUBLE*suspicious+0.45::DOUBLE*least(nx*1.6::DOUBLE,1),1),6) AS score, examples FROM h""",
-    "tunnel_parents": f"""WITH {FQ}, l AS (SELECT *, regexp_extract(dns_qname,'([^.]+\\.[^.]+)$',1) AS parent FROM fq WHERE dns_qname<>''), a AS (
-SELECT src_ip, parent, count(*) AS observed_flows, count(DISTINCT dns_qname) AS unique_names, CAST(sum(bytes_out) AS BIGINT) AS bytes_up, CAST(sum(bytes_in) AS BIGINT) AS bytes_down, avg(CASE WHEN len(dns_qname)>=20 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS lr, avg(CASE WHEN dns_qtype IN ('TXT','NULL','CNAME') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS tr, count(DISTINCT dns_qname)/count(*)::DOUBLE AS ur, avg(len(dns_qname)) AS ml FROM l GROUP BY ALL HAVING count(*)>=3)
-SELECT src_ip, parent, observed_flows, unique_names, bytes_up, bytes_down, round(lr,6) AS long_rate, round(tr,6) AS type_rate, round(ur,6) AS unique_rate, round(ml,6) AS mean_length, round(least(0.40::DOUBLE*lr+0.25::DOUBLE*tr+0.20::DOUBLE*ur+CASE WHEN observed_flows>10 THEN 0.15::DOUBLE ELSE 0 END,1),6) AS score FROM a""",
+    "beacon_pairs": f"WITH {BEACON} SELECT src_ip, dst_ip, round(wat,3) AS window_end, n_events, dst_prevalence, round(cv,4) AS interval_cv, round(mr,4) AS mad_ratio, round(bcv,4) AS byte_cv, round(1/(1+greatest(cv,0)),4) AS regularity, round(exp(-pow((cv-0.16::DOUBLE)/0.13::DOUBLE,2)),4) AS jitter_band, CASE WHEN {PRIVATE.format('dst_ip')} THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS dst_external, round({BEACON_SCORE},4) AS score FROM bc",
+    "dga_hosts": f"""WITH {LEX}, {DGA}
+SELECT src_ip, dst_ip, observed_flows, round(suspicious,6) AS suspicious, round(nx,6) AS nx, round(mean_score,6) AS mean_score, round({DGA_SCORE},6) AS score, examples FROM h""",
+    "tunnel_parents": f"""WITH {FQ}, {TUNNEL}
+SELECT src_ip, parent, observed_flows, unique_names, bytes_up, bytes_down, round(lr,6) AS long_rate, round(tr,6) AS type_rate, round(ur,6) AS unique_rate, round(ml,6) AS mean_length, round({TUNNEL_SCORE},6) AS score FROM a""",
     "tls_pairs": f"WITH {TLS} SELECT round(window_end,6) AS window_end, round(out_share,6) AS out_share, round(size_mean,6) AS size_mean, round(score,6) AS score, src_ip, dst_ip, ja4, ja4_hosts, dst_hosts, hosts, self_signed, min_days, no_sni, cert_seen, observed_flows FROM tz",
-    "exfil_windows": f"WITH RECURSIVE {EXFIL} SELECT src_ip, dst_ip, up AS bytes_up, down AS bytes_down, n AS observed_flows, round(window_end,3) AS window_end, ratio, base, round(dev,5) AS deviation, top_up/greatest(up,1)::DOUBLE AS dst_concentration, CASE WHEN novel THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS dst_novelty, CASE WHEN pv THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS dst_external, up/greatest(up+down,1)::DOUBLE AS out_share, round(least(CASE WHEN oir>3 THEN least(oir/20,1)*0.40::DOUBLE ELSE 0 END+CASE WHEN dev>3 THEN least((dev-3)/8,1)*0.30::DOUBLE ELSE 0 END+CASE WHEN novel THEN 0.20::DOUBLE ELSE 0 END+CASE WHEN up>5000000 THEN 0.10::DOUBLE ELSE 0 END,0.82::DOUBLE),5) AS score FROM xf",
+    "exfil_windows": f"WITH RECURSIVE {EXFIL} SELECT src_ip, dst_ip, up AS bytes_up, down AS bytes_down, n AS observed_flows, round(window_end,3) AS window_end, ratio, base, round(dev,5) AS deviation, top_up/greatest(up,1)::DOUBLE AS dst_concentration, CASE WHEN novel THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS dst_novelty, CASE WHEN pv THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS dst_external, up/greatest(up+down,1)::DOUBLE AS out_share, round({EXFIL_SCORE},5) AS score FROM xf",
     "ics_writes": f"WITH {ICS} SELECT round(window_end,6) AS window_end, round(score,6) AS score, src_ip, dst_ip, observed_flows, array_to_string(funcs,',') AS funcs, controllers, writes, unauthorised, illegal FROM iz",
-    "dedupe": f"WITH RECURSIVE {DETECTIONS} SELECT threat_class, src_ip, dst_ip, round(window_end,3) AS window_end, round(score,6) AS score FROM dd WHERE emit",
+    "dedupe": f"WITH RECURSIVE {DETECTIONS} SELECT threat_class, src_ip, dst_ip, round(window_end,3) AS window_end, round(score,4) AS score FROM dd WHERE emit",
     "suppress": f"WITH RECURSIVE {DETECTIONS} SELECT threat_class, count(*) AS n, count(DISTINCT src_ip) AS sources FROM det WHERE src_ip NOT IN ('10.42.0.2','203.0.113.3','10.60.0.1') AND dst_ip NOT IN ('10.42.0.2','203.0.113.3','10.60.0.1') GROUP BY ALL",
     "alerts": f"WITH RECURSIVE {ALERTS} SELECT threat_class, src_ip, dst_ip, severity, round(confidence,3) AS confidence, round(raw,3) AS raw_score, round(window_end,3) AS ts_emitted, technique, tactic, detector, model_version, reverse_visible AS reverse_direction_visible, caveat FROM al",
     "alert_flow_ids": f"WITH RECURSIVE {ALERTS}, ids AS (SELECT *, 'f-'||substr(sha256(concat(CAST(ms//1000 AS VARCHAR),'.',lpad(CAST(ms%1000 AS VARCHAR),3,'0'),'|',src_ip,':',src_port,'|',dst_ip,':',dst_port,'|',proto)),1,10) AS flow_id FROM (SELECT *, (us+500)//1000 AS ms FROM w) z), lo AS (SELECT al.threat_class, al.src_ip, al.dst_ip, al.window_end, list(flow_id ORDER BY ids.ts, ids.seq)[1:8] AS fl FROM al JOIN ids ON al.window_end=ids.window_end AND al.src_ip=ids.src_ip AND CASE al.threat_class WHEN 'recon_scanning' THEN ids.proto='tcp' AND ids.syn>0 ELSE ids.tls_ja4 IS NOT NULL AND ids.dst_ip=al.dst_ip END WHERE al.threat_class IN ('recon_scanning','encrypted_malware') GROUP BY ALL) SELECT 'prh-'||substr(sha256(concat(threat_class,'|',src_ip,'|',dst_ip,'|',printf('%.1f',window_end))),1,12) AS alert_id, array_to_string(fl,',') AS flow_ids FROM lo",

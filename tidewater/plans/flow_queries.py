@@ -174,9 +174,11 @@ def ics_writes(s, d):
 
 
 def _detections(s, d):
+    """What all detectors over tables find: eight of the nine; the ninth learns its forest from the same flows, see ``anomaly_hits``."""
     flows = daily(s, d)
     control = W.anchored(T.control_flows(s, d), 5 * DAY)
-    return N.union(D.recon(flows, RECON), D.tls(flows, TLS), D.ics(control, ICS))
+    names, volumes = _names(s, d), W.anchored(T.volume_flows(s, d), 30 * DAY)
+    return N.union(D.flood(flows, FLOOD), D.beacon(daily(s, d, 10), BEACON), D.dga(names, DGA), D.tunnel(names, TUNNEL), D.tls(flows, TLS), D.recon(flows, RECON), D.exfil(volumes, EXFIL), D.ics(control, ICS))
 
 
 def _alerts(s, d):
@@ -184,7 +186,7 @@ def _alerts(s, d):
 
 
 def dedupe(s, d):
-    return N.dedupe(_detections(s, d), 2 * DAY).select("threat_class", "src_ip", "dst_ip", F.round("window_end", 3).alias("window_end"), F.round("score", 6).alias("score"))
+    return N.dedupe(_detections(s, d), 2 * DAY).select("threat_class", "src_ip", "dst_ip", F.round("window_end", 3).alias("window_end"), F.round("score", 4).alias("score"))
 
 
 def suppress(s, d):
