@@ -107,3 +107,12 @@ def test_engine_stats_have_rates(spark):
     alerts = spark.createDataFrame([(5.0,), (9.0,)], "latency_ms double")
     row = E.engine_stats(flows, alerts).first()
     assert (row.flows, row.alerts, row.flows_per_second) == (11, 2, 1.1) and row.alerts_per_million == pytest.approx(2e6 / 11)
+
+
+def test_selftest_and_empty_pool(spark):
+    from tidewater.__main__ import selftest
+    from tidewater.operators import anomaly as A
+
+    assert all(selftest(spark).values())
+    none = spark.createDataFrame([], "id long, v array<double>")
+    assert A.autoencoder_score(none, A.autoencoder_of(none, "v", "id"), "v").count() == 0

@@ -1,4 +1,4 @@
-"""Command line: replay synthetic flows, read a capture, check the installation, time the engine."""
+"""Command line: replay synthetic flows, read a capture, verify a ledger, train, sweep, check the installation, time the engine."""
 
 from __future__ import annotations
 
@@ -10,8 +10,9 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .operators import fusion
-from .plans import engine
+from .operators import fusion, training
+from .operators.logistic import Logistic
+from .plans import engine, sweeps
 from .sources import packets, synthetic
 
 NETWORK = {"socket", "http", "urllib", "requests", "ssl", "ftplib", "smtplib"}
@@ -33,9 +34,27 @@ def show(spark: SparkSession, flows, cfg: engine.Config) -> None:
     fusion.ranked(got["incidents"], 1, 10).show(truncate=False)
 
 
+def selftest(spark: SparkSession) -> dict[str, bool]:
+    """What must hold of an installation: no network client, a ledger that verifies and shows an edit, models that survive writing."""
+    records = spark.createDataFrame([(i, f"record {i}") for i in range(5)], "at int, body string")
+    chained = fusion.chain(records, ["at"], "body").persist()
+    edited = chained.withColumn("body", F.when(F.col("seq") == 3, "edited").otherwise(F.col("body")))
+    model = Logistic(("a", "b"), (0.5, -1.0), 0.1, (0.0, 1.0), (1.0, 2.0), 0.4)
+    alerts = engine.run(synthetic.flows(spark, 2000, duration=300.0, benign=0.6))["raised"]
+    out = {
+        "no network imports": not network_imports(Path(__file__).parent),
+        "ledger verifies": bool(fusion.verify(chained).first().ok),
+        "an edit shows": fusion.verify(edited).first().first_bad == 3,
+        "models survive writing": Logistic.from_json(model.to_json()) == model,
+        "the engine raises alerts": not alerts.isEmpty(),
+    }
+    chained.unpersist()
+    return out
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="tidewater")
-    parser.add_argument("verb", choices=("replay", "capture", "selftest", "bench"))
+    parser.add_argument("verb", choices=("replay", "capture", "ledger", "train", "sweep", "selftest", "bench"))
     parser.add_argument("--path")
     parser.add_argument("--flows", type=int, default=100_000)
     parser.add_argument("--duration", type=float, default=1800.0)
@@ -45,11 +64,27 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--single-direction", action="store_true")
     args = parser.parse_args(argv)
     cfg = engine.Config(width=args.window, one_way=args.single_direction)
-    if args.verb == "selftest":
-        bad = network_imports(Path(__file__).parent)
-        print("network imports:", bad or "none")
-        return int(bool(bad))
     spark = SparkSession.builder.appName("tidewater").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    if args.verb == "selftest":
+        found = selftest(spark)
+        for name, good in found.items():
+            print(f"{name}: {'ok' if good else 'FAILED'}")
+        return int(not all(found.values()))
+    if args.verb == "ledger":
+        said = fusion.verify(spark.read.parquet(args.path)).first()
+        print(f"{said.n} records, {'whole' if said.ok else f'broken at {said.first_bad}'}")
+        return int(not said.ok)
+    if args.verb == "sweep":
+        sweeps.jitter_sweep(spark, count=args.flows).orderBy("jitter").show()
+        return 0
+    if args.verb == "train":
+        models, _, report = training.trained(engine.windowed(synthetic.flows(spark, args.flows, args.seed, args.duration, jitter=args.jitter), cfg))
+        for name, model in models.items():
+            print(name, report[name])
+            if args.path:
+                Path(args.path).mkdir(parents=True, exist_ok=True)
+                (Path(args.path) / f"{name}.json").write_text(model.to_json(), encoding="utf-8")
+        return 0
     if args.verb == "capture":
         read = packets.assemble(packets.decode(packets.read_captures(spark, args.path)))
         show(spark, read.withColumn("seq", F.monotonically_increasing_id()).withColumn("label", F.lit("benign")), cfg)

@@ -168,8 +168,10 @@ class Autoencoder:
 
 
 def autoencoder_of(df: DataFrame, vector: str, key: str, pool: int = 20_000, **fit: int) -> Autoencoder:
-    """Fit on a bounded pool of rows, the least by a hash of their key."""
+    """Fit on a bounded pool of rows, the least by a hash of their key. Without rows the net stays as it was drawn."""
     rows = df.where(c(vector).isNotNull()).orderBy(F.xxhash64(F.lit(3), key), key).limit(pool).select(vector).collect()
+    if not rows:
+        return Autoencoder(1)
     x = np.array([r[0] for r in rows], float)
     return Autoencoder(x.shape[1]).fit(x, **fit)
 

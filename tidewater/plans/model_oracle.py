@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..sources.datasets import FAMILIES
+from ..sources.datasets import FAMILIES, KDD, KDD_FLAGS, KDD_LOG, KDD_PROTOCOLS, KDD_TEXT, UNSW
 from .flow_oracle import FE, FQ
 
 FD = """fd AS (SELECT d.doc_id AS id, l.quality AS y, l.toxic AS y2, CAST(d.n_chars AS DOUBLE) AS f1, CAST(length(regexp_replace(d.text,'[^0-9]','','g')) AS DOUBLE) AS f2 FROM documents d JOIN labels l ON d.doc_id=l.doc_id),
@@ -14,7 +14,22 @@ _C = lambda n: "1.0::DOUBLE" if n <= 1 else f"(2*(ln({n}-1)+0.5772156649015329::
 
 _KNOWN = ", ".join(f"('{x}','{k}')" for k, xs in FAMILIES.items() for x in xs)
 
+
+
+def _weighed(numbers: list[str], logs: tuple[str, ...], kinds: list[int]) -> str:
+    """Each component times its place, summed: numbers first, then the places of the one-hot values."""
+    x = lambda i: f"CAST((k+{i})%50 AS DOUBLE)"
+    parts = [f"{i + 1}*{f'log10({x(i)}+1)' if n in logs else x(i)}" for i, n in enumerate(numbers)]
+    at = len(numbers)
+    for n in kinds:
+        parts.append(f"({at + 1}+k%{n})")
+        at += n
+    return f"SELECT event_id AS seq, {at} AS n, round({' + '.join(parts)}, 6) AS weighed FROM (SELECT event_id, CAST(json_extract_string(props,'$.k') AS INT) AS k FROM events) e"
+
+
 ORACLE = {
+    "nsl_vec": _weighed([n for n in KDD if n not in KDD_TEXT], KDD_LOG, [len(KDD_PROTOCOLS), len(KDD_FLAGS)]),
+    "unsw_vec": _weighed(UNSW, ("dur", "sbytes", "dbytes", "rate", "sload", "dload"), [3, 4]),
     "category_map": f"SELECT * FROM (VALUES {_KNOWN}, ('Normal','normal'), (' neptune ','dos'), ('unheard','other')) v(attack, category)",
     "model_manifest": "SELECT * FROM (VALUES ('example','ok'), ('weights','ok'), ('missing','missing')) v(name, state)",
     "netflow_decode": f"WITH {FE} SELECT round(1757900000 - 100 + seq/100::DOUBLE, 3) AS ts, src_ip, dst_ip, src_port, dst_port, proto, round(duration, 3) AS duration, pkts_out, bytes_out, CASE WHEN proto='tcp' THEN 1 ELSE 0 END AS syn, CASE WHEN proto='tcp' THEN synack ELSE 0 END AS synack, 0 AS rst, 0 AS fin FROM fe",

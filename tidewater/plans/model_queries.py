@@ -187,11 +187,39 @@ def category_map(s, d):
     return datasets.categories(s.createDataFrame([(x,) for x in names], "attack string"))
 
 
+def _weighed(vector):
+    """One number of a vector that every component and its place tell in."""
+    return F.round(F.aggregate(F.transform(vector, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x), 6)
+
+
+def _records(s, d, names):
+    """The events as dataset records: column number i has the event's k plus i, modulo 50."""
+    rows = T.table(s, d, "events").select(c("event_id").alias("seq"), F.get_json_object("props", "$.k").cast("int").alias("k"))
+    return rows.select("seq", "k", *[((c("k") + i) % 50).cast("double").alias(n) for i, n in enumerate(names)])
+
+
+def nsl_vec(s, d):
+    rows = _records(s, d, [n for n in datasets.KDD if n not in datasets.KDD_TEXT])
+    pick = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), c("k") % len(xs) + 1)
+    rows = rows.withColumns({"protocol_type": pick(datasets.KDD_PROTOCOLS), "flag": pick(datasets.KDD_FLAGS)})
+    return rows.withColumn("v", datasets.kdd_vector()).select("seq", F.size("v").alias("n"), _weighed(c("v")).alias("weighed"))
+
+
+UNSW_LOGS, UNSW_PROTOCOLS, UNSW_STATES = ("dur", "sbytes", "dbytes", "rate", "sload", "dload"), ("tcp", "udp", "arp"), ("FIN", "CON", "INT", "REQ")
+
+
+def unsw_vec(s, d):
+    pick = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), c("k") % len(xs) + 1)
+    rows = _records(s, d, datasets.UNSW).withColumns({"proto": F.upper(pick(UNSW_PROTOCOLS)), "state": pick(UNSW_STATES)})
+    rows = rows.withColumn("v", datasets.unsw_vector(UNSW_LOGS, UNSW_PROTOCOLS, UNSW_STATES))
+    return rows.select("seq", F.size("v").alias("n"), _weighed(c("v")).alias("weighed"))
+
+
 def synthetic_flows(s, d):
     return synthetic.flows(s, 2000).groupBy("label", "proto").agg(F.count("*").alias("n"), F.sum("bytes_out").alias("bytes_out"))
 
 
 QUERIES = {f.__name__: f for f in (
     lr_scaler, lr_threshold, lr_fit, temporal_split, calibration_fit, confusion, prf_macro, macro_f1, binary_metrics, ece_brier, recall_at_fpr, auc, host_truth,
-    iforest_score, iforest_fit, autoencoder, anomaly_hits, anomaly_hits_exact, model_manifest, netflow_decode, packet_decode, flow_assembly, capture_decode, capture_flows, category_map, synthetic_flows,
+    iforest_score, iforest_fit, autoencoder, anomaly_hits, anomaly_hits_exact, model_manifest, netflow_decode, packet_decode, flow_assembly, capture_decode, capture_flows, category_map, nsl_vec, unsw_vec, synthetic_flows,
 )}
