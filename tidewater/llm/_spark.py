@@ -25,11 +25,12 @@ def work_dir(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, partition_by: str | None = None, options: dict[str, str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors, fixes the rows."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/tidewater/{name}-{uuid.uuid4().hex}"
-    out = df.write.partitionBy(partition_by) if partition_by else df.write
+    out = df.write.options(**options or {})
+    out = out.partitionBy(partition_by) if partition_by else out
     out.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._tidewater_path = path
