@@ -133,3 +133,19 @@ def test_passage_behind_a_frequent_seed_and_any_number_of_partitions(spark):
         found.append(sorted(map(tuple, got)))
     assert found[0] == found[1] == found[2]
     assert [(r[0], r[3], r[5]) for r in found[0]] == [(0, "41:91", 1), (1, "7:57", 0)]
+
+
+def test_copies_behind_a_frequent_seed_are_not_listed_window_by_window(spark, monkeypatch):
+    rng, fill = filler(31)
+    passages = [fill(n) for n in (400, 250)]
+    docs = [(int(i), " ".join([fill(30), passages[k % 2], fill(30)] if k % 5 else [passages[0], passages[0]])) for k, i in enumerate(rng.permutation(200))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(suffixes, "HOT", 20)
+    want = exact(docs)
+    assert found(df) == want and len(want) == 200
+    size, holders = suffixes.MIN, defaultdict(set)
+    runs = [(d, tuple(w[i : i + size])) for d, t in docs for w in [t.split()] for i in range(len(w) - size + 1)]
+    for d, run in runs:
+        holders[run].add(d)
+    shared = sum(len(holders[run]) > 1 for _, run in runs)
+    assert suffixes.repeats(df).count() < shared / 4

@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ._spark import discard, join_on_hot_key, written
 
@@ -17,7 +18,7 @@ from ._spark import discard, join_on_hot_key, written
 #: to follow inside it.
 MIN, GRAM, SEED = 50, 8, 27
 WINDOW = MIN - SEED + 1
-HOT = 1000  # suffixes of a seed that are grouped inside one task; those of more frequent seeds are aggregated by window
+HOT = 1000  # suffixes of a seed that are grouped inside one task; those of more frequent seeds are aggregated by context and window
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -143,14 +144,40 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _of_hot(windows: DataFrame) -> DataFrame:
-    """The same as ``_groups`` for seeds of any number of suffixes, a row a window: by aggregates and joins on its hash."""
+    """The same as ``_groups`` for seeds of any number of suffixes: by aggregates and joins on the hashes of windows.
+
+    Suffixes of equal windows (copies of one context) make one class, known by a hash of them all, with its two smallest
+    documents. A class's windows are listed once, however many copies it has, and its runs then go to each copy.
+    """
     c = F.col
-    each = windows.select("doc_id", "first", F.posexplode("hashes").alias("i", "hash")).select("doc_id", (c("first") + c("i")).alias("start"), "hash")
-    ends = each.groupBy("hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least <> most").select("hash", "least")
-    met = written(join_on_hot_key(each, ends, "hash"), "met")
-    second = met.where("doc_id <> least").groupBy("hash").agg(F.min("doc_id").alias("partner"))
-    run = ["doc_id", "start", (c("start") + MIN).alias("stop")]
-    return met.where("doc_id <> least").select(*run, c("least").alias("partner")).unionAll(join_on_hot_key(met.where("doc_id = least"), second, "hash").select(*run, "partner"))
+    hot = windows.select("doc_id", "first", F.xxhash64("hashes").alias("class"), "hashes")
+    place = Window.partitionBy("class").orderBy("doc_id")
+    ends = hot.select("class", "doc_id").distinct().withColumn("nth", F.row_number().over(place)).where("nth <= 2").groupBy("class").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    classes = written(hot.groupBy("class").agg(F.first("hashes").alias("hashes")).join(ends, "class"), "classes")
+    each = classes.select("class", "low", "high", F.posexplode("hashes").alias("i", "hash"))
+    least = each.groupBy("hash").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least <> most").select("hash", "least")
+    met = written(join_on_hot_key(each, least, "hash"), "met")
+    second = met.select("hash", F.when(c("low") != c("least"), c("low")).when(c("high") != c("least"), c("high")).alias("other")).groupBy("hash").agg(F.min("other").alias("second"))
+    rest = met.where("low <> least").select("class", "i", "least", F.lit(None).cast("long").alias("second"))  # none of its documents is the least
+    both = rest.unionAll(join_on_hot_key(met.where("low = least"), second, "hash").select("class", "i", "least", "second"))
+    discard(classes)
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = []
+            for key, at in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                for r in sorted(at, key=lambda r: r["i"]):
+                    if out and out[-1][0] == key and out[-1][2] == r["i"] and out[-1][3:] == [r["least"], r["second"]]:
+                        out[-1][2] += 1
+                    else:
+                        out.append([key, r["i"], r["i"] + 1, r["least"], r["second"]])
+            kinds = {"class": pa.int64(), "begin": pa.int32(), "end": pa.int32(), "least": pa.int64(), "second": pa.int64()}
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds.values())], names=list(kinds))
+
+    listed = both.groupBy("class").agg(F.collect_list(F.struct("i", "least", "second")).alias("at"))  # WINDOW at most
+    spans = listed.mapInArrow(runs, "class long, begin int, end int, least long, second long")
+    partner = F.when(c("doc_id") == c("least"), c("second")).otherwise(c("least"))
+    return join_on_hot_key(hot.drop("hashes"), spans, "class").select("doc_id", (c("first") + c("begin")).alias("start"), (c("first") + c("end") - 1 + MIN).alias("stop"), partner.alias("partner"))
 
 
 def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
