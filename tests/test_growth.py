@@ -40,3 +40,12 @@ def test_netflow_of_many_sources_and_late_clocks(spark, shifted):
     made = shifted([(0, 0), (10**6, 90_000), (10**9, 70_000)])
     got = same(spark, made, "netflow_decode")
     assert any(r.src_ip.split(".")[2] == "360" for r in got)
+
+
+def test_a_question_from_a_port_that_amplifiers_share_is_no_reflection(spark, shifted, small):
+    user = duckdb.sql(f"SELECT user_id FROM '{small}/events.parquet' WHERE event_type = 'signup' ORDER BY value DESC LIMIT 1").fetchall()[0][0]
+    made = shifted([(0, 1900 - 1024 - user)])
+    folder, con = made
+    most = con.sql("SELECT max(floor(value*100)/(CAST(json_extract_string(props,'$.k') AS INT)+1)) FROM events WHERE event_type='signup' AND 1024+user_id%60000=1900").fetchall()[0][0]
+    assert most >= 600
+    assert sum(r.udp for r in same(spark, made, "ddos_windows")) > 0

@@ -81,10 +81,15 @@ class Flood:
 
 
 def flood_windows(flows: DataFrame, cfg: Flood = Flood()) -> DataFrame:
-    """A row a (window, destination): counts, source entropy, handshake completion, reflections."""
+    """A row a (window, destination): counts, source entropy, handshake completion, reflections.
+
+    A reflection is a large reply from an amplifier's port; from a client's port to a served one it is a question.
+    """
     heard = flows.where((c("syn") > 0) | (c("proto") == "udp"))
     udp, tcp = c("proto") == "udp", c("proto") == "tcp"
-    reply = udp & c("src_port").isin(*cfg.amplifiers) & (c("bytes_out") / F.greatest("pkts_out", F.lit(1)) >= cfg.reply_bytes)
+    served = [p for p in cfg.amplifiers if p < 1024]
+    asks = (c("src_port") >= 1024) & F.coalesce(c("dst_port").isin(*served), F.lit(False))  # 1900 and 11211 are clients' ports too
+    reply = udp & c("src_port").isin(*cfg.amplifiers) & ~asks & (c("bytes_out") / F.greatest("pkts_out", F.lit(1)) >= cfg.reply_bytes)
     total = lambda cond, what=F.lit(1): F.sum(F.when(cond, what).otherwise(0))
     src = heard.groupBy("window_end", "dst_ip", "src_ip").agg(F.count("*").alias("k"), total(udp).alias("udp"), total(tcp).alias("tcp"), total(reply).alias("reflections"), total(tcp, c("syn")).alias("syns"), total(tcp, c("synack")).alias("synacks"), F.min("ts").alias("ts_event"))
     sums = [F.sum(x).alias(x) for x in ("udp", "tcp", "reflections", "syns", "synacks")]
