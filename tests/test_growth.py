@@ -5,6 +5,7 @@ from __future__ import annotations
 import duckdb
 import pytest
 
+from tidewater.operators import folds, fusion
 from tidewater.plans import flow_oracle, flow_queries, model_oracle, model_queries
 
 QUERIES = flow_queries.QUERIES | model_queries.QUERIES
@@ -49,3 +50,14 @@ def test_a_question_from_a_port_that_amplifiers_share_is_no_reflection(spark, sh
     most = con.sql("SELECT max(floor(value*100)/(CAST(json_extract_string(props,'$.k') AS INT)+1)) FROM events WHERE event_type='signup' AND 1024+user_id%60000=1900").fetchall()[0][0]
     assert most >= 600
     assert sum(r.udp for r in same(spark, made, "ddos_windows")) > 0
+
+
+def test_no_task_of_a_chain_sorts_more_than_a_part(spark, shifted, monkeypatch):
+    made = shifted([(0, 0), (10**6, 1500), (2 * 10**6, 3000)])
+    most, dealt = [], folds.discard
+    monkeypatch.setattr(folds, "ROWS", 250)
+    monkeypatch.setattr(folds, "discard", lambda t: (most.append(t.groupBy("_part").count().agg({"count": "max"}).first()[0]) if "_part" in t.columns else None, dealt(t)))
+    rows = same(spark, made, "ledger_chain")
+    assert len(rows) > 1000 and most and max(most) <= 500
+    same(spark, made, "ledger_verify")
+    assert tuple(fusion.resume(QUERIES["ledger_chain"](spark, made[0])).first())[0] == len(rows)

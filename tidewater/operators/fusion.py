@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions.features import alert_id, flow_id, registrable
 from ..schema import SEVERITIES, threats
-from .folds import scan
+from .folds import relay, scan
 
 c = F.col
 
@@ -145,12 +145,12 @@ GENESIS = "0" * 64
 def chain(records: DataFrame, order: list[str], body: str, after: tuple[int, str] = (0, GENESIS)) -> DataFrame:
     """A hash chain over records in order, on from ``after`` (last seq and hash): seq, body, prev_sha256, sha256 of ``prev|seq|body``.
 
-    Each hash needs the one before, so a chain is sequential by definition: one ordered pass over all records, in memory
-    bounded by a batch. Use one chain a partition (``order`` inside it) where a ledger must grow beyond a task.
+    Each hash needs the one before, so a chain is sequential by definition: parts of the order are sorted and chained one after
+    the other, each by a task in memory bounded by a part.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seq, last = after
+    def fold(state: tuple[int, str], batches: Iterator[pa.RecordBatch]) -> Generator[pa.RecordBatch, None, tuple[int, str]]:
+        seq, last = state
         for batch in batches:
             bodies, before, digests, first = batch.column(0).to_pylist(), [], [], seq + 1
             for x in bodies:
@@ -159,9 +159,10 @@ def chain(records: DataFrame, order: list[str], body: str, after: tuple[int, str
                 last = hashlib.sha256("|".join([last, str(seq)] + [x] * (x is not None)).encode("utf-8", "surrogatepass")).hexdigest()
                 digests.append(last)
             yield pa.RecordBatch.from_arrays([pa.array(range(first, seq + 1), pa.int64()), pa.array(bodies, pa.string()), pa.array(before, pa.string()), pa.array(digests, pa.string())], names=["seq", "body", "prev_sha256", "sha256"])
+        return seq, last
 
-    rows = records.select(*order, c(body).alias("_body")).repartition(1).sortWithinPartitions(*order, "_body").select("_body")
-    return rows.mapInArrow(run, "seq long, body string, prev_sha256 string, sha256 string")
+    rows = records.select(*order, c(body).alias("_body"))
+    return relay(rows, [*order, "_body"], ["_body"], after, fold, "seq long, body string, prev_sha256 string, sha256 string")
 
 
 def append(path: str, records: DataFrame, order: list[str], body: str) -> tuple[int, str]:
@@ -179,10 +180,11 @@ def append(path: str, records: DataFrame, order: list[str], body: str) -> tuple[
 
 def verify(ledger: DataFrame) -> DataFrame:
     """One row: ok, n, and the first bad seq. Each record is checked against its neighbour by join, so in parallel."""
-    before = ledger.select((c("seq") + 1).alias("seq"), c("sha256").alias("held"))
-    met = ledger.join(before, "seq", "left")
     want = F.sha2(F.concat_ws("|", "prev_sha256", c("seq").cast("string"), "body"), 256)
-    bad = (want != c("sha256")) | (c("prev_sha256") != F.when(c("seq") == 1, GENESIS).otherwise(F.coalesce("held", F.lit(""))))
+    mine = ledger.select("seq", "prev_sha256", (want != c("sha256")).alias("_bad"))  # bodies stay where they are
+    before = ledger.select((c("seq") + 1).alias("seq"), c("sha256").alias("held"))
+    met = mine.join(before, "seq", "left")
+    bad = c("_bad") | (c("prev_sha256") != F.when(c("seq") == 1, GENESIS).otherwise(F.coalesce("held", F.lit(""))))
     out = met.agg(F.count("*").alias("n"), F.min(F.when(bad, c("seq"))).alias("first_bad"))
     return out.select(c("first_bad").isNull().alias("ok"), "n", "first_bad")
 
