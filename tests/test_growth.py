@@ -61,3 +61,13 @@ def test_no_task_of_a_chain_sorts_more_than_a_part(spark, shifted, monkeypatch):
     assert len(rows) > 1000 and most and max(most) <= 500
     same(spark, made, "ledger_verify")
     assert tuple(fusion.resume(QUERIES["ledger_chain"](spark, made[0])).first())[0] == len(rows)
+
+
+def test_verdicts_do_not_depend_on_the_parts_of_the_pass(spark, shifted, monkeypatch):
+    folder, _ = shifted([(0, 0), (10**6, 1500), (2 * 10**6, 3000)])
+    whole = sorted(map(tuple, QUERIES["anomaly_hits_exact"](spark, folder).collect()))
+    monkeypatch.setattr(folds, "ROWS", 250)
+    parts, dealt = [], folds.discard
+    monkeypatch.setattr(folds, "discard", lambda t: (parts.append(t.select("_part").distinct().count()) if "_part" in t.columns else None, dealt(t)))
+    assert sorted(map(tuple, QUERIES["anomaly_hits_exact"](spark, folder).collect())) == whole and whole
+    assert parts and parts[0] > 3

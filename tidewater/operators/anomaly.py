@@ -6,7 +6,7 @@ import json
 import math
 import random
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import features as X
 from ..schema import CAVEATS
+from .folds import relay
 
 c = F.col
 EULER = 0.5772156649015329
@@ -224,17 +225,17 @@ def profile(df: DataFrame, vector: str, at: tuple[int, ...], low: float = 0.001,
 def anomaly_hits_exact(scored: DataFrame, cfg: Anomaly = Anomaly()) -> DataFrame:
     """(seq, hit) with the adaptive local envelope, which each flow's own verdict feeds: one ordered pass over all flows.
 
-    The feedback makes this sequential by definition, in memory bounded by ``memory`` vectors; use ``anomaly_hits`` for
-    data beyond one task. Input: seq, ts, v (vector), s (effective score), known (recognised service).
+    The feedback makes this sequential by definition: parts of the order are sorted and folded one after the other, in memory
+    bounded by a part and ``memory`` vectors. Input: seq, ts, v (vector), s (effective score), known (recognised service).
     """
+    at = list(cfg.continuous)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        local: deque = deque(maxlen=cfg.memory)
-        low = high = None
-        since, at = 0, list(cfg.continuous)
+    def fold(state: tuple, batches: Iterator[pa.RecordBatch]) -> Generator[pa.RecordBatch, None, tuple]:
+        held, low, high, since = state
+        local: deque = deque(held, cfg.memory)
         for batch in batches:
             out = []
-            v = np.stack(batch.column(1).to_numpy(zero_copy_only=False))[:, at] if batch.num_rows else []
+            v = np.stack(batch.column(1).to_numpy(zero_copy_only=False)) if batch.num_rows else []
             for vec, s, known in zip(v, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if known:
                     local.append(vec)
@@ -250,9 +251,10 @@ def anomaly_hits_exact(scored: DataFrame, cfg: Anomaly = Anomaly()) -> DataFrame
                         col = np.sort(np.array(local), 0)
                         low, high, since = col[int(len(col) * 0.01)], col[min(int(len(col) * 0.99), len(col) - 1)], 0
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.bool_())], names=["seq", "hit"])
+        return list(local), low, high, since
 
-    rows = scored.select("seq", "v", "s", "known", "ts").repartition(1).sortWithinPartitions("ts", "seq").drop("ts")
-    return rows.mapInArrow(run, "seq long, hit boolean")
+    rows = scored.select("seq", F.array(*[c("v")[i] for i in at]).alias("v"), "s", "known", "ts")
+    return relay(rows, ["ts", "seq"], ["seq", "v", "s", "known"], ([], None, None, 0), fold, "seq long, hit boolean")
 
 
 def anomaly_hits(scored: DataFrame, cfg: Anomaly = Anomaly()) -> DataFrame:
