@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import time
+
 import duckdb
+import numpy as np
 import pytest
 
+from tidewater.functions import features as X
 from tidewater.operators import folds, fusion
 from tidewater.plans import flow_oracle, flow_queries, model_oracle, model_queries
 
@@ -71,3 +75,20 @@ def test_verdicts_do_not_depend_on_the_parts_of_the_pass(spark, shifted, monkeyp
     monkeypatch.setattr(folds, "discard", lambda t: (parts.append(t.select("_part").distinct().count()) if "_part" in t.columns else None, dealt(t)))
     assert sorted(map(tuple, QUERIES["anomaly_hits_exact"](spark, folder).collect())) == whole and whole
     assert parts and parts[0] > 3
+
+
+def test_volumes_are_joined_once(spark, small):
+    """Neither the windows' origin nor the hosts seen so far, which only named flows need, read and join all lines again."""
+    plan = QUERIES["exfil_windows"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 3  # lineitem, orders, and lineitem for the one row of the origin
+
+
+def test_autocorrelation_of_a_long_array_costs_no_square(spark):
+    x = np.random.default_rng(5).normal(size=40_000) + np.tile(np.arange(8.0), 5_000)
+    d = x - x.mean()
+    began = time.time()
+    got = spark.createDataFrame([(x.tolist(),), (x[:700].tolist(),), (None,)], "xs array<double>").select(X.autocorrelation_peak("xs").alias("peak")).collect()
+    assert time.time() - began < 15
+    e = x[:700] - x[:700].mean()
+    assert got[0].peak == pytest.approx(max(d[k:] @ d[:-k] for k in range(8, 800, 8)) / (d @ d), abs=1e-9)
+    assert got[1].peak == pytest.approx(max(e[k:] @ e[:-k] for k in range(1, 351)) / (e @ e), abs=1e-9) and got[2].peak is None

@@ -420,7 +420,8 @@ class Exfil:
 def exfil_windows(flows: DataFrame, cfg: Exfil = Exfil()) -> DataFrame:
     """A row a (window, source) past the gate: ratio, own baseline before the window, top destination, its novelty, score."""
     sent = flows.where((c("proto") == "tcp") & (F.coalesce("ics_proto", F.lit("")) == ""))
-    dst = sent.groupBy("window_end", "src_ip", "dst_ip").agg(F.sum("bytes_out").alias("up"), F.sum("bytes_in").alias("down"), F.count("*").alias("n"), F.min(F.struct("ts", "seq")).alias("first"))
+    dealt = sent.select("src_ip", "dst_ip", "window_end", "bytes_out", "bytes_in", "ts", "seq").repartition("src_ip", "dst_ip")  # one exchange and sort for sums and novelty
+    dst = dealt.groupBy("src_ip", "dst_ip", "window_end").agg(F.sum("bytes_out").alias("up"), F.sum("bytes_in").alias("down"), F.count("*").alias("n"), F.min(F.struct("ts", "seq")).alias("first"))
     dst = dst.withColumn("novel", F.min("window_end").over(Window.partitionBy("src_ip", "dst_ip")) == c("window_end"))
     best = F.struct(c("up").alias("up"), (-c("first.ts")).alias("t"), (-c("first.seq")).alias("s"), c("dst_ip").alias("dst_ip"), c("novel").alias("novel"))
     src = dst.groupBy("window_end", "src_ip").agg(F.sum("up").alias("total_up"), F.sum("down").alias("down"), F.sum("n").alias("observed_flows"), F.min("first.ts").alias("ts_event"), F.max(best).alias("top"))
@@ -441,12 +442,13 @@ def exfil_windows(flows: DataFrame, cfg: Exfil = Exfil()) -> DataFrame:
     r, d = c("out_in_ratio"), c("deviation")
     by_hand = F.when(r > 3.0, F.least(r / 20.0, F.lit(1.0)) * 0.40).otherwise(0.0) + F.when(d > 3.0, F.least((d - 3.0) / 8.0, F.lit(1.0)) * 0.30).otherwise(0.0) + 0.20 * c("dst_novelty") + F.when(c("bytes_up") > 5_000_000, 0.10).otherwise(0.0)
     scored = met.withColumn("score", F.least(cfg.model.probability() if cfg.model else by_hand, F.lit(cfg.ceiling)))
-    few = inside_hosts(sent).where(c("hosts") < cfg.min_hosts).select("window_end", F.lit(True).alias("_few"))
     named = sent.where(F.coalesce("tls_sni", F.lit("")) != "").groupBy("dst_ip", "window_end").agg(F.max_by("tls_sni", F.struct("ts", "seq")).alias("sni"))
-    rows = named.select("dst_ip", c("window_end").alias("at"), "sni", F.lit(0).alias("ask")).unionAll(scored.select("dst_ip", c("window_end").alias("at"), F.lit(None).cast("string"), F.lit(1)).distinct())
+    asked = scored.select("dst_ip", "window_end").distinct().join(named.select("dst_ip").distinct(), "dst_ip", "left_semi")  # nothing, where no flow has a name
+    rows = named.select("dst_ip", c("window_end").alias("at"), "sni", F.lit(0).alias("ask")).unionAll(asked.select("dst_ip", c("window_end").alias("at"), F.lit(None).cast("string"), F.lit(1)))
     latest = rows.withColumn("sni", F.last("sni", True).over(Window.partitionBy("dst_ip").orderBy("at", "ask").rowsBetween(Window.unboundedPreceding, 0))).where("ask = 1").select("dst_ip", c("at").alias("window_end"), "sni")
-    met = scored.join(latest, ["dst_ip", "window_end"]).join(few, "window_end", "left")
-    return met.where(~(F.coalesce("_few", F.lit(False)) & X.is_service_name(F.coalesce("sni", F.lit(""))))).drop("_few", "sni")
+    few = inside_hosts(sent).where(c("hosts") < cfg.min_hosts).select("window_end")
+    served = latest.where(X.is_service_name(F.coalesce("sni", F.lit("")))).join(few, "window_end")
+    return scored.join(served, ["dst_ip", "window_end"], "left_anti").select(scored.columns)
 
 
 def exfil(flows: DataFrame, cfg: Exfil = Exfil()) -> DataFrame:

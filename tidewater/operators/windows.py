@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 from .folds import scan
 
 
-def anchored(flows: DataFrame, width: float = 60.0) -> DataFrame:
-    """Add window_end: windows of ``width`` seconds from the first flow's time on; a flow at an end opens the next."""
-    origin = flows.agg(F.min("ts").alias("_origin"))
+def anchored(flows: DataFrame, width: float = 60.0, origin: DataFrame | None = None) -> DataFrame:
+    """Add window_end: windows of ``width`` seconds from the first flow's time on; a flow at an end opens the next.
+
+    origin: one row, that time, where it can be had for less than a pass over ``flows``.
+    """
+    origin = flows.agg(F.min("ts")) if origin is None else origin
+    origin = origin.toDF("_origin")
     met = flows.crossJoin(F.broadcast(origin))  # one row
     return met.withColumn("window_end", F.col("_origin") + (F.floor((F.col("ts") - F.col("_origin")) / width) + 1) * width).drop("_origin")
 

@@ -163,9 +163,13 @@ def tls_pairs(s, d):
     return D.tls_pairs(daily(s, d), TLS).select(*r6("window_end", "out_share", "size_mean", "score"), "src_ip", "dst_ip", "ja4", "ja4_hosts", "dst_hosts", "hosts", "self_signed", "min_days", "no_sni", "cert_seen", "observed_flows")
 
 
+def _volumes(s, d):
+    return W.anchored(T.volume_flows(s, d), 30 * DAY, T.volume_origin(s, d))
+
+
 def exfil_windows(s, d):
-    out = D.exfil_windows(W.anchored(T.volume_flows(s, d), 30 * DAY), EXFIL)
-    return out.select("src_ip", "dst_ip", "bytes_up", "bytes_down", "observed_flows", F.round("window_end", 3).alias("window_end"), "ratio", "base", "dst_concentration", "out_share", *[F.round(x, 5).alias(x) for x in ("deviation", "dst_novelty", "dst_external", "score")])
+    out = D.exfil_windows(_volumes(s, d), EXFIL)
+    return out.select("src_ip", "dst_ip", "bytes_up", "bytes_down", "observed_flows", F.round("window_end", 3).alias("window_end"), "ratio", "base", "dst_concentration", "out_share", *[(F.round(c(x) * 1e5) / 1e5).alias(x) for x in ("deviation", "dst_novelty", "dst_external", "score")])
 
 
 def ics_writes(s, d):
@@ -177,7 +181,7 @@ def _detections(s, d):
     """What all detectors over tables find: eight of the nine; the ninth learns its forest from the same flows, see ``anomaly_hits``."""
     flows = daily(s, d)
     control = W.anchored(T.control_flows(s, d), 5 * DAY)
-    names, volumes = _names(s, d), W.anchored(T.volume_flows(s, d), 30 * DAY)
+    names, volumes = _names(s, d), _volumes(s, d)
     return N.union(D.flood(flows, FLOOD), D.beacon(daily(s, d, 10), BEACON), D.dga(names, DGA), D.tunnel(names, TUNNEL), D.tls(flows, TLS), D.recon(flows, RECON), D.exfil(volumes, EXFIL), D.ics(control, ICS))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +72,16 @@ def volume_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _query(spark, sf_dir, VOLUME_FLOWS, "lineitem", "orders")
 
 
+def volume_origin(spark: SparkSession, sf_dir: str) -> DataFrame | None:
+    """One row: the first time of ``volume_flows``, without the whole join; None if the earliest lines have no order."""
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    earliest = lines.agg(F.min("l_shipdate").alias("first"))
+    early = lines.join(F.broadcast(earliest), F.col("l_shipdate") == F.col("first")).select("l_orderkey")
+    if not early.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").take(1):
+        return None
+    return earliest.select(F.expr("unix_micros(CAST(first AS TIMESTAMP))/1e6D"))
+
+
 def name_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _query(spark, sf_dir, NAME_FLOWS, "pages")
 
